@@ -22,29 +22,46 @@ BLANK_CLASS = (
     r"[ \t\x0B\x0C\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+
+
+def _byte_class(members) -> str:
+    """Regex class that lists each byte: the Java engine tests a list by table
+    lookup, ranges and negations one at a time."""
+    return "[" + "".join(rf"\x{b:02X}" for b in members) + "]"
+
+
 # Control bytes other than tab, line feed and carriage return.
-CONTROL_CLASS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+CONTROL_CLASS = _byte_class(b for b in range(32) if b not in (9, 10, 13))
+# Bytes other than printable ASCII, tab, line feed and carriage return.
+MASKED_CLASS = _byte_class(b for b in range(256) if not 32 <= b <= 126 and b not in (9, 10, 13))
 
 LF = "\n"
 
 
-def head_text(content: Column) -> Column:
-    """First bytes as one character per byte."""
-    return F.decode(F.substring(content, 1, HEAD_BYTES), "ISO-8859-1")
+def head_bytes(content: Column) -> Column:
+    return F.least(F.octet_length(content), F.lit(HEAD_BYTES))
 
 
 def control_count(content: Column) -> Column:
-    head = head_text(content)
-    return F.length(head) - F.length(F.regexp_replace(head, CONTROL_CLASS, ""))
+    """Control bytes in the head, as its length less the length without them.
+
+    Decoding as ISO-8859-1 gives one character per byte. Most texts hold no
+    control byte at all, which one search that replaces nothing shows.
+    """
+    head = F.substring(content, 1, HEAD_BYTES)
+    without = F.regexp_replace(F.decode(head, "ISO-8859-1"), CONTROL_CLASS + "+", "")
+    return F.when(
+        head.cast("string").rlike(CONTROL_CLASS), head_bytes(content) - F.length(without)
+    ).otherwise(F.lit(0))
 
 
 def is_binary(content: Column) -> Column:
     """More than ten percent (whole percents) control bytes in the head.
 
     `floor(100 n / size) > 10` for positive integers is `100 n >= 11 size`,
-    which needs no division and is false for empty content by itself.
+    which needs no division.
     """
-    size = F.least(F.octet_length(content), F.lit(HEAD_BYTES))
+    size = head_bytes(content)
     return (size > 0) & (control_count(content) * 100 >= size * (BINARY_PERCENT + 1))
 
 
@@ -60,7 +77,7 @@ def render_text(content: Column) -> Column:
 
 def mask_ascii(content: Column) -> Column:
     """Every byte outside printable ASCII, tab, LF and CR becomes one `?`."""
-    return F.regexp_replace(F.decode(content, "ISO-8859-1"), r"[^\x20-\x7E\n\r\t]", "?")
+    return F.regexp_replace(F.decode(content, "ISO-8859-1"), MASKED_CLASS, "?")
 
 
 def end_with_lf(text: Column) -> Column:
@@ -79,22 +96,35 @@ def blank_lines_emptied(text: Column) -> Column:
     return F.regexp_replace(lf_only, rf"(?md)^{BLANK_CLASS}++$", "")
 
 
+def _squeeze_lines(text: Column, max_blank: int) -> Column:
+    """`squeeze` of a text that ends in a line feed.
+
+    One pass: a match starts at a blank line and takes its whole run; the
+    groups hold the line feeds that stay.
+    """
+    line = rf"{BLANK_CLASS}*+\n"
+    kept = "".join(rf"(?:{BLANK_CLASS}*+(\n))?" for _ in range(max_blank - 1))
+    groups = "".join(f"${i}" for i in range(1, max_blank))
+    return F.regexp_replace(
+        F.replace(text, F.lit("\r\n"), F.lit(LF)),
+        rf"(?md)^{line}{kept}(?:{line})*+",
+        (LF if max_blank else "") + groups,
+    )
+
+
 def squeeze(text: Column, max_blank: int = MAX_BLANK_LINES) -> Column:
     """Normalise line ends, empty the blank lines, and cut longer blank runs.
 
     Runs are cut inside one row: a frame begins and ends with a line that is
     not blank, so squeezing each document alone equals squeezing the bundle.
     """
-    kept = LF * max_blank
-    return F.regexp_replace(
-        blank_lines_emptied(end_with_lf(text)), rf"(^|\n)\n{{{max_blank + 1},}}", "$1" + kept
-    )
+    return _squeeze_lines(end_with_lf(text), max_blank)
 
 
 def canonical_text(content: Column, squeezed: bool = True) -> Column:
     """The body a frame stores: text plus one line feed, squeezed."""
     text = F.concat(render_text(content), F.lit(LF))
-    return squeeze(text) if squeezed else text
+    return _squeeze_lines(text, MAX_BLANK_LINES) if squeezed else text
 
 
 def restore_text(body: Column) -> Column:

@@ -51,9 +51,7 @@ def shard_plan(
         "bundle", "seq", (pack_weight() if weight is None else weight).alias("_weight")
     )
     total = running_total(slim, ["bundle"], "seq", F.col("_weight"), "_end", span)
-    return total.select(
-        "bundle", "seq", F.expr(f"(_end - _weight) div {int(budget)}").alias("shard")
-    )
+    return total.select("bundle", "seq", F.expr(f"_end_before div {int(budget)}").alias("shard"))
 
 
 def shard_cuts(plan: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
@@ -67,7 +65,8 @@ def shard_cuts(plan: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
 def assign_shards(
     rows: DataFrame, files: DataFrame, budget: int = SHARD_BYTES, span: int = BLOCK_SPAN
 ) -> DataFrame:
-    """Add `shard` to content rows, planned from the catalog columns of `files`.
+    """Add `shard` to content rows, planned from the catalog columns of `files`
+    (`bundle, seq, path, size`), which may come from a source without content.
 
     The join side has one row per block, not per file: Spark broadcasts it
     where its measured size allows, and the content then stays where it is.

@@ -10,7 +10,7 @@ BLOCK_SPAN = 4096
 
 def block_start(order: Column, span: int = BLOCK_SPAN) -> Column:
     """Start of the fixed-width block of the order value."""
-    return order - F.pmod(order, F.lit(span))
+    return F.coalesce(order - F.pmod(order, F.lit(span)), F.lit(0))
 
 
 def running_total(
@@ -21,31 +21,39 @@ def running_total(
     out: str,
     span: int = BLOCK_SPAN,
 ) -> DataFrame:
-    """Add `out`: the inclusive running sum of `value` by `order` in each group.
+    """Add `out`, the inclusive running sum of `value` by `order` in each group,
+    and `<out>_before`, the same without the row itself.
 
     A single window over a hot group would be one task. Rows are summed in
     blocks of `span` order values instead; only block totals go through the
     per-group window, and each block adds the total before it. Blocks depend on
     the order value alone, so a recomputed task gives the same answer.
+
+    Both branches read the same shuffle when `df` has no further columns: the
+    totals then ask for the same columns as the rows (hence `_last`), and none
+    can be null (hence the defaults), so that no filter tells them apart.
     """
     inside = Window.partitionBy(*groups, "_block").orderBy(order)
     before = Window.partitionBy(*groups).orderBy("_block")
-    keyed = df.withColumn("_block", block_start(F.col(order), span)).withColumn("_value", value)
-    offsets = (
-        keyed.groupBy(*groups, "_block")
-        .agg(F.sum("_value").alias("_sum"))
-        .select(
-            *groups,
-            "_block",
-            F.coalesce(
-                F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_offset"),
-        )
+    keyed = (
+        df.withColumn(order, F.coalesce(F.col(order), F.lit(0)))
+        .withColumn("_value", F.coalesce(value.cast("long"), F.lit(0)))
+        .withColumn("_block", block_start(F.col(order), span))
+        .repartition(*groups, "_block")
+    )
+    totals = keyed.groupBy(*groups, "_block").agg(
+        F.sum("_value").alias("_sum"), F.max(order).alias("_last")
+    )
+    earlier = F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(
+        *groups, "_block", "_last", F.coalesce(earlier, F.lit(0)).alias("_offset")
     )
     partial = F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
         keyed.withColumn("_partial", partial)
         .join(offsets, [*groups, "_block"])
+        .filter(F.col(order) <= F.col("_last"))
         .withColumn(out, F.col("_partial") + F.col("_offset"))
-        .drop("_block", "_value", "_partial", "_offset")
+        .withColumn(f"{out}_before", F.col(out) - F.col("_value"))
+        .drop("_block", "_value", "_last", "_partial", "_offset")
     )

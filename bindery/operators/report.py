@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -36,3 +37,16 @@ def observed(rendered: DataFrame, name: str = "bindery") -> tuple[DataFrame, Obs
         F.sum(F.octet_length("frame").cast("bigint")).alias("bytes"),
     ]
     return rendered.observe(watch, *metrics), watch
+
+
+def counters(watch: Observation) -> dict[str, int]:
+    """Values of `observed` after its action; zeros when there were no rows.
+
+    Spark drops the counters of a plan it finds to be empty while running, and
+    then has no row to give.
+    """
+    try:
+        values = watch.get
+    except Py4JJavaError:
+        values = {}
+    return {name: values.get(name) or 0 for name in ("files", "binary", "bytes")}

@@ -19,22 +19,26 @@ class NoInputError(ValueError):
     """No file passed the admission rules."""
 
 
-def sharded_frames(files: DataFrame, cfg: PackConfig) -> DataFrame:
-    """`bundle, shard, seq, path, frame, …` of admitted files with content."""
+def sharded_frames(
+    files: DataFrame, cfg: PackConfig, listed: DataFrame | None = None
+) -> DataFrame:
+    """`bundle, shard, seq, path, frame, …` of admitted files with content.
+
+    `listed` is the same set of files from a source without content, where
+    there is one: shards are planned from it, and content is read once.
+    """
     rendered = packing.render(files, cfg.squeeze, cfg.signed, cfg.key)
-    return packing.assign_shards(rendered, files, cfg.shard_bytes)
+    return packing.assign_shards(rendered, files if listed is None else listed, cfg.shard_bytes)
 
 
-def pack_files(files: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
-    """Admit, render and write `files` (with content) under `out/bundles`, and
-    the manifest of signed runs under `out/manifest`.
-
-    Returns the counters that filled while the bundles were written.
-    """
-    admitted = admission.admit(files, cfg)
-    frames, watch = report.observed(sharded_frames(admitted, cfg))
+def _write(
+    admitted: DataFrame, cfg: PackConfig, out: str, listed: DataFrame | None = None
+) -> dict[str, int]:
+    """Bundles under `out/bundles`; for signed runs the manifest under
+    `out/manifest`. The counters fill while the bundles are written."""
+    frames, watch = report.observed(sharded_frames(admitted, cfg, listed))
     write_bundles(frames, f"{out}/bundles")
-    counters = watch.get
+    counters = report.counters(watch)
     if not counters["files"]:
         raise NoInputError("no file matched the criteria")
     if cfg.signed:
@@ -42,16 +46,18 @@ def pack_files(files: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
     return counters
 
 
+def pack_files(files: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
+    """Admit, render and write `files` that already have content."""
+    return _write(admission.admit(files, cfg), cfg, out)
+
+
 def _pack_catalog(listed: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
     """Admission on catalog rows first, so only admitted files are read."""
     admitted = materialize(admission.admit(listed, cfg), "admitted")
     if admitted.isEmpty():
         raise NoInputError("no file matched the criteria")
     read = read_content(admitted).filter(~F.col("failed"))
-    counters = pack_files(read, PackConfig(
-        include_hidden=True, max_bytes=cfg.max_bytes, squeeze=cfg.squeeze, signed=cfg.signed,
-        key=cfg.key, shard_bytes=cfg.shard_bytes,
-    ), out)
+    counters = _write(read, cfg, out, listed=admitted)
     return {**counters, "failed": admitted.count() - counters["files"]}
 
 
@@ -60,8 +66,12 @@ def pack_paths(
 ) -> dict[str, int]:
     """Pack files and directories into the bundle `name` under `out`."""
     listed = catalog(
-        spark, roots, name,
-        recursive=cfg.recursive, include_hidden=cfg.include_hidden, exclude=[out],
+        spark,
+        roots,
+        name,
+        recursive=cfg.recursive,
+        include_hidden=cfg.include_hidden,
+        exclude=[out],
     )
     return _pack_catalog(listed, cfg, out)
 

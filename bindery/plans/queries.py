@@ -284,7 +284,7 @@ def input_order(spark, sf_dir):
     files = corpus(spark, sf_dir).select(F.col("seq").alias("doc_id"), "path")
     inputs = catalog.union_inputs(files.filter("doc_id % 3 < 2"), files.filter("doc_id % 3 > 0"))
     ordered = catalog.assign_seq(inputs, "arg", "path")
-    ranked = prefix.running_total(ordered, [], "seq", F.lit(1).cast("long"), "position")
+    ranked = prefix.running_total(ordered, [], "seq", F.lit(1), "position")
     return ranked.select("arg", "path", "position")
 
 
