@@ -29,19 +29,15 @@ def matches_skip(base_name: Column, path: Column, patterns) -> Column:
 
 def within_size(size: Column, max_bytes: int) -> Column:
     """False where the size is unknown; the limit itself is allowed."""
-    return F.coalesce(size <= F.lit(max_bytes), F.lit(False))
+    return size.isNotNull() & (size <= F.lit(max_bytes))
 
 
 def allowed_type(ext: Column, extensions: list[str]) -> Column:
     return ext.isin(*extensions) if extensions else F.lit(True)
 
 
-def admission_reason(cfg: PackConfig, skipped: Column | None = None) -> Column:
-    """First failing test per file, or OK.
-
-    Expects `path`, `base_name`, `ext` and `size`. `skipped` replaces the skip
-    patterns of the settings with a flag computed elsewhere.
-    """
+def _rejections(cfg: PackConfig, skipped: Column | None) -> list[tuple[Column, str]]:
+    """(test that rejects a file, its reason), in the order the tests are made."""
     base, path = F.col("base_name"), F.col("path")
     tests: list[tuple[Column, str]] = []
     if not cfg.include_hidden:
@@ -55,14 +51,20 @@ def admission_reason(cfg: PackConfig, skipped: Column | None = None) -> Column:
         tests.append((~globs.matches_glob(base, cfg.name_pattern), NAME))
     if cfg.extensions:
         tests.append((~allowed_type(F.col("ext"), cfg.extensions), TYPE))
-    chain = F.when(*_labelled(tests[0]))
-    for test in tests[1:]:
-        chain = chain.when(*_labelled(test))
-    return chain.otherwise(F.lit(OK))
+    return tests
 
 
-def _labelled(test: tuple[Column, str]) -> tuple[Column, Column]:
-    return test[0], F.lit(test[1])
+def admission_reason(cfg: PackConfig, skipped: Column | None = None) -> Column:
+    """First failing test per file, or OK.
+
+    Expects `path`, `base_name`, `ext` and `size`. `skipped` replaces the skip
+    patterns of the settings with a flag computed elsewhere.
+    """
+    (first, label), *others = _rejections(cfg, skipped)
+    chain = F.when(first, F.lit(label))
+    for test, label in others:
+        chain = chain.when(test, F.lit(label))
+    return chain.otherwise(F.lit(OK))
 
 
 def with_reason(files: DataFrame, cfg: PackConfig) -> DataFrame:
@@ -72,7 +74,10 @@ def with_reason(files: DataFrame, cfg: PackConfig) -> DataFrame:
 
 
 def admit(files: DataFrame, cfg: PackConfig) -> DataFrame:
-    return with_reason(files, cfg).filter(F.col("reason") == OK).drop("reason")
+    """Files with reason OK, by plain conditions that scans can evaluate."""
+    for test, _ in _rejections(cfg, None):
+        files = files.filter(~test)
+    return files if cfg.file_cap is None else file_cap(files, cfg.file_cap, per_bundle=False)
 
 
 def admission_counts(reasoned: DataFrame) -> DataFrame:

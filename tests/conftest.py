@@ -20,6 +20,7 @@ SESSION = (
     .config("spark.driver.memory", "8g")
     .config("spark.ui.enabled", "false")
     .config("spark.sql.session.timeZone", "UTC")
+    .config("spark.sql.maxMetadataStringLength", "2000")  # plans are read in tests
     .config("spark.sql.warehouse.dir", f"{SCRATCH}/warehouse")
     .config("spark.checkpoint.dir", f"{SCRATCH}/checkpoint")
     .getOrCreate()

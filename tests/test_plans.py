@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.functions import globs
+from bindery.config import PackConfig
 from bindery.operators import admission, integrity, packing, unpacking
 from bindery.plans.queries import QUERIES
 from bindery.sinks.bundles import write_bundles
@@ -77,15 +77,11 @@ def test_path_filters_read_no_text(spark):
 
 
 def test_filters_reach_a_stored_table(stored):
-    kept = stored.filter(
-        admission.within_size(F.col("size"), 20)
-        & admission.allowed_type(F.col("ext"), [".c", ".h"])
-        & globs.matches_glob(F.col("base_name"), "*.c")
-    ).select("path")
-    plan = final_plan(kept)
-    pushed = re.search(r"PushedFilters: \[([^\]]*\]?[^\]]*)\]", plan).group(1)
+    cfg = PackConfig(max_bytes=20, types="c,h", name_pattern="*.c", skip_patterns=("x*", "?y"))
+    plan = final_plan(admission.admit(stored, cfg).select("path"))
+    pushed = re.search(r"PushedFilters: (.*?), ReadSchema", plan).group(1)
     assert "StringEndsWith(base_name,.c)" in pushed and "In(ext" in pushed
-    assert "LessThanOrEqual(size,20)" in pushed
+    assert "LessThanOrEqual(size,20)" in pushed and "Not(StringStartsWith" in pushed
     assert "content" not in re.search(r"ReadSchema: (\S+)", plan).group(1)
 
 
