@@ -13,8 +13,10 @@ MIB = 1024 * 1024
 MAX_FILE_BYTES = 1024 * MIB
 MAX_FILES = 100_000
 
-# Text of one shard; the largest file may exceed it by its own size.
-SHARD_BYTES = 16 * MIB
+# Bytes of one shard, which its last file may exceed: as a file, and as a row.
+# An aggregating task holds up to 128 rows at a time before Spark sorts instead.
+FILE_SHARD_BYTES = 128 * MIB
+ROW_SHARD_BYTES = 16 * MIB
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class PackConfig:
     squeeze: bool = True
     signed: bool = False
     key: bytes | None = field(default=None, repr=False)
-    shard_bytes: int = SHARD_BYTES
+    shard_bytes: int = FILE_SHARD_BYTES
 
     def __post_init__(self):
         for pattern in (*self.skip_patterns, *filter(None, [self.name_pattern])):

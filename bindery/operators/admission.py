@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bindery.config import PackConfig
 from bindery.functions import globs
-from bindery.operators.prefix import BLOCK_SPAN, running_total
+from bindery.operators.prefix import BLOCK_SPAN, block_start, running_total
 from bindery.scratch import materialize
 
 # Outcomes, in the order the tests are made.
@@ -16,6 +16,7 @@ DOT, SKIP, SIZE, NAME, TYPE, CAP, OK = "DOT", "SKIP", "SIZE", "NAME", "TYPE", "C
 
 # A pattern table up to this size becomes one regex; beyond it, a keyed join.
 INLINE_PATTERNS = 2000
+SALTS = 32
 
 
 def is_dot(base_name: Column) -> Column:
@@ -124,9 +125,13 @@ def _skipped_keys(files: DataFrame, patterns: DataFrame) -> DataFrame:
     )
     widths = [r.n for r in compiled.select(F.length("key").alias("n")).distinct().collect()]
     keys = F.array_distinct(F.concat(*(_fragments(F.col("path"), n) for n in sorted(widths))))
+    # A fragment that very many paths share is spread over `SALTS` tasks.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = compiled.select("key", "regex", salts)
     return (
-        files.select("bundle", "seq", "path", "base_name", F.explode(keys).alias("key"))
-        .join(compiled, "key")
+        files.withColumn("salt", F.pmod(F.xxhash64("bundle", "seq"), F.lit(SALTS)).cast("int"))
+        .select("bundle", "seq", "path", "base_name", "salt", F.explode(keys).alias("key"))
+        .join(salted, ["key", "salt"])
         .filter(F.expr("base_name rlike regex or path rlike regex"))
         .select("bundle", "seq")
         .distinct()
@@ -134,35 +139,42 @@ def _skipped_keys(files: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def cap_limits(
-    files: DataFrame, n: int, per_bundle: bool = False, span: int = BLOCK_SPAN
+    files: DataFrame, n: int, groups: list[str], span: int = BLOCK_SPAN
 ) -> DataFrame:
-    """Last `seq` inside the cap: one row, or one row per bundle.
+    """Last `seq` inside the cap, for each block that has one.
 
     Reads only the order columns. Ranks come from block counts, so that no
     task ever sorts a whole bundle.
     """
-    groups = ["bundle"] if per_bundle else []
     ranked = running_total(files.select(*groups, "seq"), groups, "seq", F.lit(1), "rank", span)
-    inside = ranked.filter(F.col("rank") <= n)
-    return inside.groupBy(*groups).agg(F.max("seq").alias("last_seq"))
+    return (
+        ranked.filter(F.col("rank") <= n)
+        .groupBy(*groups, block_start(F.col("seq"), span).alias("_block"))
+        .agg(F.max("seq").alias("_last"))
+    )
+
+
+def _with_limits(
+    files: DataFrame, limits: DataFrame, groups: list[str], how: str, span: int
+) -> DataFrame:
+    """Join by block rather than by bundle, whose rows may be a third of all."""
+    blocked = files.withColumn("_block", block_start(F.col("seq"), span))
+    return blocked.join(limits, [*groups, "_block"], how).drop("_block")
 
 
-def file_cap(files: DataFrame, n: int, per_bundle: bool = True) -> DataFrame:
+def file_cap(
+    files: DataFrame, n: int, per_bundle: bool = True, span: int = BLOCK_SPAN
+) -> DataFrame:
     """First `n` files by `seq`, of each bundle or of all."""
-    limits = cap_limits(files, n, per_bundle)
-    if per_bundle:
-        joined = files.join(limits, "bundle")
-    else:  # the limits are one aggregate row
-        joined = files.join(F.broadcast(limits))
-    return joined.filter(F.col("seq") <= F.col("last_seq")).drop("last_seq")
+    groups = ["bundle"] if per_bundle else []
+    joined = _with_limits(files, cap_limits(files, n, groups, span), groups, "inner", span)
+    return joined.filter(F.col("seq") <= F.col("_last")).select(*files.columns)
 
 
-def mark_cap(reasoned: DataFrame, n: int) -> DataFrame:
+def mark_cap(reasoned: DataFrame, n: int, span: int = BLOCK_SPAN) -> DataFrame:
     """Relabel admitted files after the first `n` (by `seq`, over all) as CAP."""
-    limits = cap_limits(reasoned.filter(F.col("reason") == OK), n)
-    over = (F.col("reason") == OK) & ~F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
-    return (
-        reasoned.join(F.broadcast(limits))
-        .withColumn("reason", F.when(over, F.lit(CAP)).otherwise(F.col("reason")))
-        .drop("last_seq")
-    )
+    limits = cap_limits(reasoned.filter(F.col("reason") == OK), n, [], span)
+    inside = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False))
+    reason = F.when((F.col("reason") == OK) & ~inside, F.lit(CAP)).otherwise(F.col("reason"))
+    joined = _with_limits(reasoned, limits, [], "left", span)
+    return joined.withColumn("reason", reason).select(*reasoned.columns)

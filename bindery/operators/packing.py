@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.config import SHARD_BYTES
+from bindery.config import ROW_SHARD_BYTES
 from bindery.functions import frames, integrity, text
 from bindery.operators.prefix import BLOCK_SPAN, block_start, running_total
 
@@ -38,7 +38,7 @@ def pack_weight() -> Column:
 
 def shard_plan(
     files: DataFrame,
-    budget: int = SHARD_BYTES,
+    budget: int = ROW_SHARD_BYTES,
     weight: Column | None = None,
     span: int = BLOCK_SPAN,
 ) -> DataFrame:
@@ -63,7 +63,7 @@ def shard_cuts(plan: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
 
 
 def assign_shards(
-    rows: DataFrame, files: DataFrame, budget: int = SHARD_BYTES, span: int = BLOCK_SPAN
+    rows: DataFrame, files: DataFrame, budget: int = ROW_SHARD_BYTES, span: int = BLOCK_SPAN
 ) -> DataFrame:
     """Add `shard` to content rows, planned from the catalog columns of `files`
     (`bundle, seq, path, size`), which may come from a source without content.
@@ -96,7 +96,7 @@ def concat_shards(rendered: DataFrame) -> DataFrame:
 
 def pack(
     files: DataFrame,
-    budget: int = SHARD_BYTES,
+    budget: int = ROW_SHARD_BYTES,
     squeezed: bool = True,
     signed: bool = False,
     key: bytes | None = None,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from bindery.config import MAX_FILE_BYTES, SHARD_BYTES
+from bindery.config import MAX_FILE_BYTES, ROW_SHARD_BYTES
 from bindery.functions import globs
 from bindery.functions.frames import FRAME_OVERHEAD
 from bindery.functions.integrity import HMAC_BLOCK, INNER_PAD, OUTER_PAD
@@ -168,8 +168,9 @@ select seq, path from files join labels on doc_id = seq""",
   union all select case when quality = 1 then 0 else doc_id end from labels)
 select seq, path from files join tracked using (seq)""",
     "manifest_unmatched": f"""with {FILES}
-select doc_id as seq from labels
-where doc_id not in (select seq from files where not starts_with(base_name, '.'))""",
+select doc_id as seq, count(*) as copies from labels
+where doc_id not in (select seq from files where not starts_with(base_name, '.'))
+group by doc_id""",
     "walk_files": f"""with {FILES}
 select bundle || '/' || path as path, base_name, ext, size, false as hidden_tree,
   false as failed, sha256(raw) as sha
@@ -270,7 +271,7 @@ select seq, sha256(encode(raw)[1:1000]) as sha from files""",
 select seq, sha256(frame) as sha from frames""",
     "signed_frames": f"""with {FILES}, {SIGNED}
 select seq, sha256(frame) as sha from frames""",
-    "pack_bundles": _packed(SHARD_BYTES),
+    "pack_bundles": _packed(ROW_SHARD_BYTES),
     "pack_shards": _packed(SMALL_BUDGET),
     "shard_plan": f"""with {FILES}, {_with_shards(SMALL_BUDGET)}
 select bundle, seq, shard from planned""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import text
+from bindery.sizing import task_count
 
 SHARD_DIGITS = 12
 
@@ -14,7 +15,7 @@ def write_bundles(sharded: DataFrame, out: str, mode: str = "errorifexists") ->
     """Write `bundle, shard, seq, frame` rows as `bundle=…/shard=…/` text files.
 
     One shuffle, on (bundle, shard): a shard's bytes are bounded, so no task
-    gets a whole large bundle, and each shard is one file. The files of a
+    gets a whole large bundle, and each shard is one file however many tasks. The files of a
     bundle, joined in name order, are its packed text.
     """
     shard = F.lpad(F.col("shard").cast("string"), SHARD_DIGITS, "0")
@@ -24,7 +25,10 @@ def write_bundles(sharded: DataFrame, out: str, mode: str = "errorifexists") ->
         "seq",
         text.without_final_lf(F.col("frame")).alias("value"),  # the writer adds it again
     )
-    placed = rows.repartition("bundle", "shard").sortWithinPartitions("bundle", "shard", "seq")
+    tasks = task_count(sharded.sparkSession)
+    placed = rows.repartition(tasks, "bundle", "shard").sortWithinPartitions(
+        "bundle", "shard", "seq"
+    )
     placed.drop("seq").write.mode(mode).partitionBy("bundle", "shard").text(out)
 
 

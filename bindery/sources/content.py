@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from bindery.operators.catalog import with_path_parts
+from bindery.sizing import tasks_for_bytes
 
 _BATCH_BYTES = 32 * 1024 * 1024
 
@@ -17,8 +18,9 @@ _BATCH_BYTES = 32 * 1024 * 1024
 def read_content(catalog: DataFrame) -> DataFrame:
     """Add `content` and `failed` to catalog rows; filter the catalog first.
 
-    Runs where the rows are, in batches limited by bytes. A file that cannot be
-    read gives null content and `failed` true.
+    The rows are dealt out to as many tasks as the bytes ask for, and read in
+    batches limited by bytes. A file that cannot be read gives null content and
+    `failed` true.
     """
     schema = ST.StructType(
         [
@@ -51,7 +53,7 @@ def read_content(catalog: DataFrame) -> DataFrame:
             if contents:
                 yield take(batch, start, contents)
 
-    return catalog.mapInPandas(read_files, schema)
+    return catalog.repartition(tasks_for_bytes(catalog)).mapInPandas(read_files, schema)
 
 
 def read_binary_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from bindery.operators.catalog import assign_seq, with_path_parts
 from bindery.scratch import materialize
+from bindery.sizing import task_count
 
 _LISTING = (
     "arg int, path string, kind string, size long, mtime double, hidden_tree boolean, "
@@ -112,7 +113,8 @@ def _stater():
 def _arguments(spark: SparkSession, paths: Iterable[str] | DataFrame) -> DataFrame:
     """Explicit arguments as `arg, path`; a DataFrame passes as it is."""
     if isinstance(paths, DataFrame):
-        return paths.select(F.col("arg").cast("int"), "path")
+        named = paths.select(F.col("arg").cast("int"), "path")
+        return named.repartition(task_count(spark))
     rows = list(enumerate(paths))
     return spark.createDataFrame(rows, "arg int, path string")
 
@@ -140,7 +142,10 @@ def _walk(roots: DataFrame, include_hidden: bool, exclude: Iterable[str], on_err
     level, found = roots, []
     while True:
         listed = materialize(
-            level.repartition("path").mapInPandas(lister, _LISTING), "walk"
+            level.repartition(task_count(level.sparkSession), "path").mapInPandas(
+                lister, _LISTING
+            ),
+            "walk",
         )
         found.append(listed.filter(F.col("kind") == "file"))
         level = listed.filter(F.col("kind") == "dir")
@@ -193,7 +198,7 @@ def catalog_manifest(
     named = tracked.select(
         F.lit(0).alias("arg"), F.concat(F.lit(root.rstrip("/") + "/"), F.col("path")).alias("path")
     )
-    present = catalog_paths(spark, named).filter("is_file")
+    present = materialize(catalog_paths(spark, named).filter("is_file"), "manifest")
     with_parts = with_path_parts(present.withColumn("hidden_tree", F.lit(False)))
     ordered = assign_seq(with_parts.select(*CATALOG_COLUMNS), "arg", "path")
     return ordered.withColumn("bundle", F.lit(bundle))

@@ -81,7 +81,7 @@ def test_file_cap(spark):
             F.concat(F.lit("b"), F.col("id") % 7)).alias("bundle"),
     )
     for n in (0, 1, 500, 5000):
-        got = admission.file_cap(files, n).groupBy("bundle").agg(
+        got = admission.file_cap(files, n, span=64).groupBy("bundle").agg(
             F.count("*").alias("n"), F.max("seq").alias("top")).collect()
         plain = {}
         for row in files.orderBy("seq").collect():
@@ -125,8 +125,27 @@ def test_manifest_join_keeps_repeats(spark):
     tracked = spark.createDataFrame([("a",), ("a",), ("c",), ("gone",)], "path string")
     joined = catalog.manifest_join(files, tracked)
     assert sorted(r.path for r in joined.collect()) == ["a", "a", "c"]
-    assert joined.columns == ["path", "seq"]
-    assert [r.path for r in catalog.unmatched_manifest(files, tracked).collect()] == ["gone"]
+    assert joined.columns == ["seq", "path"]
+    unmatched = catalog.unmatched_manifest(files, tracked).collect()
+    assert [tuple(r) for r in unmatched] == [("gone", 1)]
+
+
+def test_manifest_join_splits_a_hot_name(spark):
+    """A name that is most of the list is copied in parts, and all of it."""
+    files = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "seq long, path string")
+    tracked = spark.range(5000).select(
+        F.expr("if(id < 3001, 'p0', concat('p', id % 60))").alias("path"))
+    counts = {r.path: r.n for r in catalog.manifest_join(files, tracked, chunk=100)
+              .groupBy("path").agg(F.count("*").alias("n")).collect()}
+    expected = {}
+    for i in range(5000):
+        name = "p0" if i < 3001 else f"p{i % 60}"
+        if int(name[1:]) < 50:
+            expected[name] = expected.get(name, 0) + 1
+    assert counts == expected
+    parts = catalog.manifest_join(files, tracked, chunk=100).rdd.mapPartitions(
+        lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(parts) < 3001
 
 
 def test_union_is_a_bag(spark):
