@@ -80,6 +80,11 @@ def mask_ascii(content: Column) -> Column:
     return F.regexp_replace(F.decode(content, "ISO-8859-1"), MASKED_CLASS, "?")
 
 
+def lf_lines(text: Column) -> Column:
+    """Line ends as LF."""
+    return F.replace(text, F.lit("\r\n"), F.lit(LF))
+
+
 def end_with_lf(text: Column) -> Column:
     return F.when(F.endswith(text, F.lit(LF)), text).otherwise(F.concat(text, F.lit(LF)))
 
@@ -92,8 +97,7 @@ def without_final_lf(text: Column) -> Column:
 
 def blank_lines_emptied(text: Column) -> Column:
     """CRLF to LF, then lines of only white space to empty lines."""
-    lf_only = F.replace(text, F.lit("\r\n"), F.lit(LF))
-    return F.regexp_replace(lf_only, rf"(?md)^{BLANK_CLASS}++$", "")
+    return F.regexp_replace(lf_lines(text), rf"(?md)^{BLANK_CLASS}++$", "")
 
 
 def _squeeze_lines(text: Column, max_blank: int) -> Column:
@@ -106,7 +110,7 @@ def _squeeze_lines(text: Column, max_blank: int) -> Column:
     kept = "".join(rf"(?:{BLANK_CLASS}*+(\n))?" for _ in range(max_blank - 1))
     groups = "".join(f"${i}" for i in range(1, max_blank))
     return F.regexp_replace(
-        F.replace(text, F.lit("\r\n"), F.lit(LF)),
+        lf_lines(text),
         rf"(?md)^{line}{kept}(?:{line})*+",
         (LF if max_blank else "") + groups,
     )

@@ -17,20 +17,22 @@ class VerificationError(ValueError):
     """At least one frame failed its check."""
 
 
-def integrity_manifest(files: DataFrame, key: bytes | None = None) -> DataFrame:
+def integrity_manifest(
+    files: DataFrame, key: bytes | None = None, squeezed: bool = True
+) -> DataFrame:
     """`bundle, seq, path, size, sha256, raw_sha256` of the text files.
 
     `sha256` covers the canonical text (keyed when a key is given), so a file
     whose line ends were normalised still verifies; `raw_sha256` covers the
     bytes as read. Binary files are never signed. No shuffle.
     """
-    bodied = packing.with_body(files).filter(~F.col("is_binary"))
+    bodied = packing.with_body(files, squeezed).filter(~F.col("is_binary"))
     return bodied.select(
         "bundle",
         "seq",
         "path",
         "size",
-        integrity.content_digest(F.col("body"), key).alias("sha256"),
+        integrity.content_digest(packing.signed_text(squeezed), key).alias("sha256"),
         F.sha2("content", 256).alias("raw_sha256"),
     )
 

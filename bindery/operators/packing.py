@@ -21,12 +21,17 @@ def with_body(files: DataFrame, squeezed: bool = True) -> DataFrame:
     return classify(files).withColumn("body", body)
 
 
+def signed_text(squeezed: bool = True) -> Column:
+    """The text of `body` that digests cover: as it will read when unpacked."""
+    return F.col("body") if squeezed else text.lf_lines(F.col("body"))
+
+
 def render(
     files: DataFrame, squeezed: bool = True, signed: bool = False, key: bytes | None = None
 ) -> DataFrame:
     """Add `is_binary` and `frame`; drops `content`. No shuffle."""
     bodied = with_body(files, squeezed)
-    signature = integrity.signature(F.col("body"), key) if signed else None
+    signature = integrity.signature(signed_text(squeezed), key) if signed else None
     frame = frames.render_frame(F.col("path"), F.col("body"), F.col("is_binary"), signature)
     return bodied.withColumn("frame", frame).drop("content", "body")
 

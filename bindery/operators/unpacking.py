@@ -19,7 +19,10 @@ def parse_records(records: DataFrame) -> DataFrame:
     """Replace `record` with `path, signature, kind, body`; other columns stay.
 
     A malformed header gives a `bad_header` row instead of ending the job.
+    Line ends may be CRLF; the LF of a record's last line went with the break.
     """
+    record = F.col("record")
+    cut = F.when(F.endswith(record, F.lit("\r")), F.substr(record, F.lit(1), F.length(record) - 1))
     header, rest = F.col("_header"), F.col("_rest")
     others = [c for c in records.columns if c != "record"]
     path = frames.header_path(header)
@@ -31,7 +34,9 @@ def parse_records(records: DataFrame) -> DataFrame:
         .otherwise(F.lit(TEXT))
     )
     return (
-        records.withColumn("_header", frames.record_header(F.col("record")))
+        records.withColumn("record", text.lf_lines(record))
+        .withColumn("record", cut.otherwise(record))
+        .withColumn("_header", frames.record_header(F.col("record")))
         .withColumn("_rest", frames.record_rest(F.col("record")))
         .select(
             *others,

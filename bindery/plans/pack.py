@@ -42,7 +42,8 @@ def _write(
     if not counters["files"]:
         raise NoInputError("no file matched the criteria")
     if cfg.signed:
-        write_manifest(integrity.integrity_manifest(admitted, cfg.key), f"{out}/manifest")
+        manifest = integrity.integrity_manifest(admitted, cfg.key, cfg.squeeze)
+        write_manifest(manifest, f"{out}/manifest")
     return counters
 
 

@@ -27,7 +27,7 @@ def read_bundles(spark: SparkSession, path: str | list[str]) -> DataFrame:
     first = (F.col("start") == 0) & F.startswith(F.col("value"), F.lit(frames.HEADER_PREFIX))
     start_cut = F.substr(F.col("value"), F.lit(len(frames.HEADER_PREFIX) + 1))
     records = lines.select(
-        bundle.alias("bundle"),
+        F.coalesce(bundle, F.lit("")).alias("bundle"),  # folders cannot have empty names
         shard.alias("shard"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),

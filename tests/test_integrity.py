@@ -58,6 +58,15 @@ def test_untouched_bundle_verifies(make_files):
         assert {r.status for r in wrong} == {"MISMATCH"}
 
 
+def test_unsqueezed_bundle_verifies(make_files):
+    files = make_files(ROWS)
+    unpacked = unpacking.unpack(packing.pack(files, squeezed=False, signed=True))
+    assert {r.status for r in integrity.verify_signatures(unpacked).collect()} == {"OK"}
+    manifest = integrity.integrity_manifest(files, squeezed=False)
+    status = integrity.verify(integrity.frame_digests(unpacked), manifest).collect()
+    assert {r.status for r in status} == {"OK"}
+
+
 def test_every_status(make_files, spark):
     files = make_files([("b", p, p.encode()) for p in ("same", "changed", "lost", "extra")])
     manifest = integrity.integrity_manifest(files).filter("path <> 'extra'")

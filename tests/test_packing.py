@@ -111,9 +111,10 @@ def test_bundle_files_round_trip(spark, make_files, tmp_path):
 
 
 def test_bundle_names_keep_their_text(spark, make_files, tmp_path):
-    files, out = make_files([("007", "a", b"x"), ("1e3", "b", b"y")]), str(tmp_path / "out")
+    names = ["", "007", "1e3", "a/b=c"]
+    files, out = make_files([(n, "p", b"x") for n in names]), str(tmp_path / "out")
     write_bundles(packing.assign_shards(packing.render(files), files), out)
-    assert sorted(r.bundle for r in read_bundles(spark, out).collect()) == ["007", "1e3"]
+    assert sorted(r.bundle for r in read_bundles(spark, out).collect()) == names
 
 
 def test_plain_file_is_read_as_its_own_bundle(spark, tmp_path):
@@ -138,6 +139,15 @@ def test_unpack_ignores_what_lies_between_frames(spark):
     assert (counts.extracted, counts.binary, counts.bad_header) == (2, 1, 1)
 
 
+def test_windows_line_ends(spark, tmp_path):
+    path, text = tmp_path / "b.txt", model.pack([("p", b"x\n\ny"), ("z", b"\0"), ("q", b"w")])
+    path.write_bytes(text.replace("\n", "\r\n").encode())
+    df = spark.createDataFrame([("b", path.read_bytes().decode())], "bundle string, text string")
+    for unpacked in (unpacking.unpack(df), read_bundles(spark, str(path))):
+        rows = unpacking.restore(unpacked).collect()
+        assert {r.path: r.content for r in rows} == {"p": "x\n\ny\n", "q": "w\n"}
+
+
 def test_marker_inside_a_text_is_text(make_files):
     data = f"a\n{model.MARKER}\nb\n".encode()
     rows = unpacking.restore(
