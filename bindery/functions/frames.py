@@ -92,40 +92,39 @@ def header_path(header: Column) -> Column:
 
 
 def is_key_header(header: Column) -> Column:
-    return F.startswith(header, F.lit(KEY_OPEN)) & F.endswith(header, F.lit("]"))
+    return F.startswith(header, F.lit(KEY_OPEN)) & F.endswith(_trimmed(header), F.lit("]"))
 
 
 def header_key(header: Column) -> Column:
     """Key text of a key header."""
-    return F.substr(header, F.lit(len(KEY_OPEN) + 1), F.length(header) - len(KEY_OPEN) - 1)
+    h = _trimmed(header)
+    return F.substr(h, F.lit(len(KEY_OPEN) + 1), F.length(h) - len(KEY_OPEN) - 1)
+
+
+# A record is the text between two header prefixes. Its header and its second
+# line are found without going through the rest, so that filters on them stay
+# cheap wherever the optimizer moves them.
 
 
 def record_header(record: Column) -> Column:
-    """First line of a frame record (the text between two header prefixes)."""
     return F.substring_index(record, LF, 1)
 
 
-def record_rest(record: Column) -> Column:
-    """All after the first line; null when the record is only a header."""
-    return F.when(
-        F.contains(record, F.lit(LF)), F.substr(record, F.length(record_header(record)) + 2)
-    )
+def record_is_binary(record: Column) -> Column:
+    second = F.substring_index(F.substring_index(record, LF, 2), LF, -1)
+    return second.isin(BINARY_MARKER, BINARY_MARKER + "\r")
 
 
-def record_is_binary(rest: Column) -> Column:
-    return F.coalesce(F.substring_index(rest, LF, 1) == BINARY_MARKER, F.lit(False))
+def record_body(record: Column) -> Column:
+    """Lines before the first fence line, each ended by LF; '' for none.
 
-
-def record_body(rest: Column) -> Column:
-    """Lines before the first fence line, each ended by LF; '' for none."""
-    framed = F.concat(F.lit(LF), rest, F.lit(LF))
-    before = F.substring_index(framed, FENCE_LINE, 1)
-    return (
-        F.when(rest.isNull(), F.lit(""))
-        .when(F.length(before) == F.length(framed), T.end_with_lf(rest))
-        .when(before == "", F.lit(""))
-        .otherwise(F.concat(F.substr(before, F.lit(2)), F.lit(LF)))
-    )
+    A fence is added after the record, so that one is always found, and the
+    text is searched from the line feed of the header on.
+    """
+    tail = F.substr(record, F.length(record_header(record)) + 1)
+    fenced = T.lf_lines(F.concat(tail, F.lit(FENCE_LINE)))
+    lines = F.substring_index(fenced, FENCE_LINE, 1)
+    return F.substr(F.concat(lines, F.lit(LF)), F.lit(2))
 
 
 def collides(body: Column) -> Column:

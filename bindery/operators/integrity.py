@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions import integrity
+from bindery.functions import integrity, text
 from bindery.operators import packing
 from bindery.operators.unpacking import TEXT
 
@@ -26,8 +26,8 @@ def integrity_manifest(
     whose line ends were normalised still verifies; `raw_sha256` covers the
     bytes as read. Binary files are never signed. No shuffle.
     """
-    bodied = packing.with_body(files, squeezed).filter(~F.col("is_binary"))
-    return bodied.select(
+    texts = files.filter(~text.is_binary(F.col("content")))
+    return texts.withColumn("body", text.canonical_text(F.col("content"), squeezed)).select(
         "bundle",
         "seq",
         "path",

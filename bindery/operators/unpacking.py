@@ -19,34 +19,24 @@ def parse_records(records: DataFrame) -> DataFrame:
     """Replace `record` with `path, signature, kind, body`; other columns stay.
 
     A malformed header gives a `bad_header` row instead of ending the job.
-    Line ends may be CRLF; the LF of a record's last line went with the break.
+    Line ends may be CRLF.
     """
     record = F.col("record")
-    cut = F.when(F.endswith(record, F.lit("\r")), F.substr(record, F.lit(1), F.length(record) - 1))
-    header, rest = F.col("_header"), F.col("_rest")
-    others = [c for c in records.columns if c != "record"]
-    path = frames.header_path(header)
-    is_key = frames.is_key_header(header)
+    header, binary = frames.record_header(record), frames.record_is_binary(record)
+    is_key, path = frames.is_key_header(header), frames.header_path(header)
     kind = (
         F.when(is_key, F.lit(KEY))
         .when(path.isNull(), F.lit(BAD_HEADER))
-        .when(frames.record_is_binary(rest), F.lit(BINARY))
+        .when(binary, F.lit(BINARY))
         .otherwise(F.lit(TEXT))
     )
-    return (
-        records.withColumn("record", text.lf_lines(record))
-        .withColumn("record", cut.otherwise(record))
-        .withColumn("_header", frames.record_header(F.col("record")))
-        .withColumn("_rest", frames.record_rest(F.col("record")))
-        .select(
-            *others,
-            F.when(is_key, F.lit(frames.KEY_PATH)).otherwise(path).alias("path"),
-            frames.header_signature(header).alias("signature"),
-            kind.alias("kind"),
-            F.when(is_key, frames.header_key(header))
-            .when(~frames.record_is_binary(rest), frames.record_body(rest))
-            .alias("body"),
-        )
+    body = F.when(is_key, frames.header_key(header)).when(~binary, frames.record_body(record))
+    return records.select(
+        *(c for c in records.columns if c != "record"),
+        F.when(is_key, F.lit(frames.KEY_PATH)).otherwise(path).alias("path"),
+        frames.header_signature(header).alias("signature"),
+        kind.alias("kind"),
+        body.alias("body"),
     )
 
 

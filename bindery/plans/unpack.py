@@ -19,13 +19,15 @@ def unpack_bundles(
     key: bytes | None = None,
     on_fail: str = "abort",
     prefix: str = "",
+    foldered: bool = True,
 ) -> int:
     """Extract bundle files into `out`; returns the number of files written.
 
+    `foldered` is false for plain bundle files outside `write_bundles` folders.
     `signed` checks each frame against its header, `manifest` against a
     manifest table; both run before the first file is written.
     """
-    unpacked = unpacking.require_files(read_bundles(spark, bundles))
+    unpacked = unpacking.require_files(read_bundles(spark, bundles, foldered))
     if signed:
         checked = integrity.verify_signatures(unpacked, key)
         unpacked, _ = integrity.extract_policy(checked, on_fail)

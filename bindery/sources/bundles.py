@@ -9,21 +9,24 @@ from bindery.functions import frames
 from bindery.operators.unpacking import parse_records
 
 
-def read_bundles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_bundles(
+    spark: SparkSession, path: str | list[str], foldered: bool = True
+) -> DataFrame:
     """`bundle, pos, path, signature, kind, body` from bundle files.
 
     The frame break is the record separator, so a large file is read by many
-    tasks. `bundle` comes from the folder layout of `write_bundles`, or is the
-    file itself elsewhere. `pos` orders the frames of a bundle.
+    tasks. `bundle` comes from the folders that `write_bundles` makes; without
+    them (`foldered=False`) each file is its own bundle. `pos` orders the
+    frames of a bundle.
     """
     reader = spark.read.option("lineSep", frames.FRAME_BREAK)
-    lines = reader.text(path)
-    if {"bundle", "shard"} <= set(lines.columns):
-        # Named again with types, so that a bundle called 007 keeps its zeros.
+    if foldered:
+        # Typed here, so that a bundle called 007 keeps its zeros.
         reader = reader.schema("value string, bundle string, shard string")
-        lines, bundle, shard = reader.text(path), F.col("bundle"), F.col("shard")
+        bundle, shard = F.col("bundle"), F.col("shard")
     else:
         bundle, shard = F.col("_metadata.file_path"), F.lit("")
+    lines = reader.text(path)
     first = (F.col("start") == 0) & F.startswith(F.col("value"), F.lit(frames.HEADER_PREFIX))
     start_cut = F.substr(F.col("value"), F.lit(len(frames.HEADER_PREFIX) + 1))
     records = lines.select(

@@ -50,8 +50,10 @@ def test_body(evaluate):
         "h\na\n'''\nrest\n'''": "a\n", "h\na": "a\n", "h\n''' \nb\n'''": "''' \nb\n",
         "h\nx'''\n'''": "x'''\n", "h\na\n\n\n'''\n": "a\n\n\n",
     }
-    body = frames.record_body(frames.record_rest(X))
-    assert evaluate(body, list(cases)) == list(cases.values())
+    assert evaluate(frames.record_body(X), list(cases)) == list(cases.values())
+    marked = {f"h\n{model.MARKER}": True, f"h\n{model.MARKER}\r\nx": True, "h\nx": False,
+              f"h\nx\n{model.MARKER}": False, "h": False, "h\n": False}
+    assert evaluate(frames.record_is_binary(X), list(marked)) == list(marked.values())
 
 
 def test_collides(evaluate):

@@ -120,7 +120,7 @@ def test_bundle_names_keep_their_text(spark, make_files, tmp_path):
 def test_plain_file_is_read_as_its_own_bundle(spark, tmp_path):
     path = tmp_path / "one.txt"
     path.write_text("'''--- PUBLIC_KEY --- [KEY:QUJD]\n'''\n\n" + model.pack([("p", b"x")]))
-    rows = {r.kind: r for r in read_bundles(spark, str(path)).collect()}
+    rows = {r.kind: r for r in read_bundles(spark, str(path), foldered=False).collect()}
     assert rows["text"].path == "p" and rows["text"].body == "x\n"
     assert rows["key"].body == "QUJD" and rows["key"].bundle.endswith("one.txt")
 
@@ -143,7 +143,7 @@ def test_windows_line_ends(spark, tmp_path):
     path, text = tmp_path / "b.txt", model.pack([("p", b"x\n\ny"), ("z", b"\0"), ("q", b"w")])
     path.write_bytes(text.replace("\n", "\r\n").encode())
     df = spark.createDataFrame([("b", path.read_bytes().decode())], "bundle string, text string")
-    for unpacked in (unpacking.unpack(df), read_bundles(spark, str(path))):
+    for unpacked in (unpacking.unpack(df), read_bundles(spark, str(path), foldered=False)):
         rows = unpacking.restore(unpacked).collect()
         assert {r.path: r.content for r in rows} == {"p": "x\n\ny\n", "q": "w\n"}
 
