@@ -27,16 +27,22 @@ def run_summary(files: DataFrame) -> DataFrame:
     )
 
 
-def observed(rendered: DataFrame, name: str = "bindery") -> tuple[DataFrame, Observation]:
+def observed(rows: DataFrame, n_bytes: Column | None = None) -> tuple[DataFrame, Observation]:
     """Attach live counters (files, binary, bytes) that fill as the rows pass,
-    at no cost of a second job."""
-    watch = Observation(name)
+    at no cost of a second job.
+
+    Attach them after the last shuffle before an action: a stage before it may
+    run tasks again after a loss, and would count them twice.
+    """
+    watch = Observation()
+    size = F.octet_length("frame") if n_bytes is None else n_bytes
+    binary = F.col("is_binary") if "is_binary" in rows.columns else F.lit(False)
     metrics: list[Column] = [
         F.count(F.lit(1)).alias("files"),
-        F.count_if("is_binary").alias("binary"),
-        F.sum(F.octet_length("frame").cast("bigint")).alias("bytes"),
+        F.count_if(binary).alias("binary"),
+        F.sum(size.cast("long")).alias("bytes"),
     ]
-    return rendered.observe(watch, *metrics), watch
+    return rows.observe(watch, *metrics), watch
 
 
 def counters(watch: Observation) -> dict[str, int]:

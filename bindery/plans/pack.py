@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.config import PackConfig
-from bindery.operators import admission, integrity, packing, report
+from bindery.operators import admission, integrity, packing
 from bindery.scratch import materialize
 from bindery.sinks.bundles import write_bundles, write_manifest
 from bindery.sources.content import read_content
@@ -35,10 +35,8 @@ def _write(
     admitted: DataFrame, cfg: PackConfig, out: str, listed: DataFrame | None = None
 ) -> dict[str, int]:
     """Bundles under `out/bundles`; for signed runs the manifest under
-    `out/manifest`. The counters fill while the bundles are written."""
-    frames, watch = report.observed(sharded_frames(admitted, cfg, listed))
-    write_bundles(frames, f"{out}/bundles")
-    counters = report.counters(watch)
+    `out/manifest`."""
+    counters = write_bundles(sharded_frames(admitted, cfg, listed), f"{out}/bundles")
     if not counters["files"]:
         raise NoInputError("no file matched the criteria")
     if cfg.signed:

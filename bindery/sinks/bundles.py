@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import text
+from bindery.operators import report
 from bindery.sizing import task_count
 
 SHARD_DIGITS = 12
 
 
-def write_bundles(sharded: DataFrame, out: str, mode: str = "errorifexists") -> None:
+def write_bundles(
+    sharded: DataFrame, out: str, mode: str = "errorifexists"
+) -> dict[str, int]:
     """Write `bundle, shard, seq, frame` rows as `bundle=…/shard=…/` text files.
 
     One shuffle, on (bundle, shard): a shard's bytes are bounded, so no task
-    gets a whole large bundle, and each shard is one file however many tasks. The files of a
-    bundle, joined in name order, are its packed text.
+    gets a whole large bundle, and each shard is one file however many tasks.
+    The files of a bundle, joined in name order, are its packed text. Returns
+    the counts of files, binary files (where `is_binary` is given) and bytes.
     """
     shard = F.lpad(F.col("shard").cast("string"), SHARD_DIGITS, "0")
+    extra = [c for c in sharded.columns if c == "is_binary"]
     rows = sharded.select(
         "bundle",
         shard.alias("shard"),
         "seq",
         text.without_final_lf(F.col("frame")).alias("value"),  # the writer adds it again
+        *extra,
     )
-    tasks = task_count(sharded.sparkSession)
-    placed = rows.repartition(tasks, "bundle", "shard").sortWithinPartitions(
-        "bundle", "shard", "seq"
-    )
-    placed.drop("seq").write.mode(mode).partitionBy("bundle", "shard").text(out)
+    placed = rows.repartition(task_count(sharded.sparkSession), "bundle", "shard")
+    counted, watch = report.observed(placed, F.octet_length("value") + 1)
+    # The order must come last: the writer sorts again if it cannot see it.
+    ordered = counted.sortWithinPartitions("bundle", "shard", "seq").drop("seq", *extra)
+    ordered.write.mode(mode).partitionBy("bundle", "shard").text(out)
+    return report.counters(watch)
 
 
 def write_table(rows: DataFrame, out: str, mode: str = "errorifexists") -> None:

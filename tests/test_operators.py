@@ -174,6 +174,6 @@ def test_run_summary_states_exclude_each_other(spark):
 
 def test_observed_counters(make_files):
     rendered, watch = report.observed(
-        packing.render(make_files([("b", "a", b"x"), ("b", "z", b"\0")])), "observed-test")
+        packing.render(make_files([("b", "a", b"x"), ("b", "z", b"\0")])))
     rendered.write.format("noop").mode("overwrite").save()
     assert watch.get["files"] == 2 and watch.get["binary"] == 1 and watch.get["bytes"] > 40
