@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,10 @@ from bindery.functions import globs
 from bindery.operators.prefix import BLOCK_SPAN, block_start, running_total
 from bindery.scratch import materialize
 
+# The glob compiler goes to the tasks that use it with their code, so that it
+# works where the package itself is not installed on the executors.
+cloudpickle.register_pickle_by_value(globs)
+
 # Outcomes, in the order the tests are made.
 DOT, SKIP, SIZE, NAME, TYPE, CAP, OK = "DOT", "SKIP", "SIZE", "NAME", "TYPE", "CAP", "OK"
 
