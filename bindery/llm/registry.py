@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import exact, packing, secrets, sharding, tokenfiles
+from bindery.llm import exact, language, lines, packing, secrets, sharding, tokenfiles
 from bindery.llm.common import documents, hex_sha256
 from bindery.scratch import scratch_path
 
@@ -32,6 +32,23 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit_languages(docs.where(~language.held_out()))
+    rows = language.predict_languages(docs.select("doc_id", "text"), model)
+    return rows.select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counts = ("n_lines", "n_equal", "n_near")
+    rows = lines.drop_repeated_lines(docs, counts=counts)
+    digest = hex_sha256(F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", *counts, digest.alias("text_sha256"))
+
+
 def _digest(spans: str):
     """`kind:start:stop` of each span, joined by commas."""
     return F.expr(
@@ -70,7 +87,9 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": packed,
     "op2_exact_dedup": exact_dedup,
+    "op6_language_id": language_id,
     "op7_token_files": token_files,
+    "op8_line_dedup": line_dedup,
     "op9_secret_scan": secret_scan,
     "op10_sharding": shards,
 }
