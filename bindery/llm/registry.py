@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import exact, language, lines, packing, secrets, sharding, tokenfiles
+from bindery.llm import exact, language, lines, packing, prefixbpe, secretscan, sharding, tokenfiles, vptrees
 from bindery.llm.common import documents, hex_sha256
 from bindery.scratch import scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,21 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prefixbpe.encode_documents(documents(spark, sf_dir), BYTES)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        hex_sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        hex_sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vptrees.near_duplicates(documents(spark, sf_dir))
+    return rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit_languages(docs.where(~language.held_out()))
@@ -57,13 +73,13 @@ def _digest(spans: str):
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secrets.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = secretscan.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     base = "filter(spans, s -> s.kind != 'entropy')"
     return rows.select(
         "doc_id",
         *(
             F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}")
-            for kind in secrets.KINDS
+            for kind in secretscan.KINDS
         ),
         hex_sha256(_digest(base)).alias("base_sha256"),
         _digest("spans").alias("spans"),
@@ -87,6 +103,8 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": packed,
     "op2_exact_dedup": exact_dedup,
+    "op3_bpe": bpe_round_trip,
+    "op5_simhash_dedup": near_dedup,
     "op6_language_id": language_id,
     "op7_token_files": token_files,
     "op8_line_dedup": line_dedup,
