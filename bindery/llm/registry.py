@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import exact, language, lines, packing, prefixbpe, secretscan, sharding, tokenfiles, vptrees
+from bindery.llm import exact, language, lines, packing, prefixbpe, secretscan, sharding, simhash, tokenfiles, vptrees
 from bindery.llm.common import documents, hex_sha256
 from bindery.scratch import scratch_path
 
@@ -43,6 +43,10 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(documents(spark, sf_dir))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vptrees.near_duplicates(documents(spark, sf_dir))
     return rows.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -104,6 +108,7 @@ QUERIES = {
     "op1_packing": packed,
     "op2_exact_dedup": exact_dedup,
     "op3_bpe": bpe_round_trip,
+    "op4_fingerprints": document_fingerprints,
     "op5_simhash_dedup": near_dedup,
     "op6_language_id": language_id,
     "op7_token_files": token_files,
