@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import steps
-from bindery.llm.tokens import kept
+from bindery.llm.tokens import byte_letters, kept
 
 #: Fixed value: white space as Unicode's property has it.
 SPACE = r"\t-\r\x20\x85\xA0  -     　"
@@ -40,13 +40,6 @@ REMEMBERED = 400_000
 ROWS = "doc_id long, ids array<int>, decoded string"
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable ones themselves, others from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class PrefixEncoder:
     """Encoder and decoder of one byte-level tokenizer file."""
 

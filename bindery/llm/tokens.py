@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 
 import numpy as np
@@ -12,6 +14,39 @@ from tokenizers import Tokenizer
 #: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
 REMEMBERED = 500_000
 
+#: The steps before the merges for which the shorter way holds.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: ASCII and the precomposed letters of Latin-1 and Latin Extended-A that have one lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-žſ]+").fullmatch
+#: The words of lower-cased plain characters.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
 
 def kept(name: str, make):
     """What `make` gave under this name, once for each worker process.
@@ -34,6 +69,10 @@ class WordEncoder:
     Holds for tokenizers that drop white space, split at it and treat what lies
     between alone, as those with word-end marks do; special tokens must hold no
     white space. The texts' ids are then gathered from the pieces' ids in numpy.
+
+    A tokenizer that lower-cases, parts words as `PARTS` does and maps bytes to letters
+    has a shorter way for pieces of plain Latin letters, signs and digits: their words
+    go to the merges directly, and words that differ in case or signs alone are one.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -42,6 +81,30 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.remembered = remembered
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.short_way = (
+            spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+        )
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x21, 0x180)}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= self.remembered:
+                self.words.clear()
+            tokens = self.tokenizer.model.tokenize(word.translate(self.letters))
+            found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            self.words[word] = found
+        return found
+
+    def _short(self, piece: str) -> bytes | None:
+        """Ids of a piece of plain characters, None for any other."""
+        if not PLAIN(piece) or self.marks.search(piece):
+            return None
+        return b"".join(map(self._word, PARTS.findall(piece.lower())))
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         new = [piece for piece in pieces if piece not in self.known]
@@ -49,6 +112,10 @@ class WordEncoder:
             if len(self.known) + len(new) > self.remembered:
                 self.known = {"": b""}
                 new = [piece for piece in pieces if piece]
+            if self.short_way:
+                short = {piece: self._short(piece) for piece in new}
+                self.known.update((p, ids) for p, ids in short.items() if ids is not None)
+                new = [piece for piece, ids in short.items() if ids is None]
             encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
             for piece, found in zip(new, encoded):
                 self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
