@@ -248,16 +248,26 @@ def drop_repeated_lines(
         return [head, tail]
 
     keys = F.array(*halves("length(line)"), *halves("(length(line) - 1)"))
-    distinct = occurrences.groupBy("high", "low").agg(
+    slim = materialize(
+        occurrences.select(
+            "id",
+            "print",
+            "number",
+            "rank",
+            "high",
+            "low",
+            (length >= near_chars).alias("long"),
+            *(keys.getItem(i).alias(f"k{i}") for i in range(4)),
+        ),
+        "occurrences",
+    )
+    distinct = slim.groupBy("high", "low").agg(
         F.min("rank").alias("first"),
-        F.max(length >= near_chars).alias("long"),
-        F.min(keys.getItem(0)).alias("k0"),
-        F.min(keys.getItem(1)).alias("k1"),
-        F.min(keys.getItem(2)).alias("k2"),
-        F.min(keys.getItem(3)).alias("k3"),
+        F.max("long").alias("long"),
+        *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)),
     )
     distinct = materialize(distinct, "lines")
-    slim = occurrences.select("id", "print", "number", "rank", "high", "low")
+    slim = slim.select("id", "print", "number", "rank", "high", "low")
     if max_edits:
         near = _near(
             distinct.where("long").select(
