@@ -59,7 +59,10 @@ def exact_duplicates(
         F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
     extra = ["text_sha256"] if digest else []
-    several = survivors.join(groups.where("group_size > 1"), "full", "left")
+    # Written, so that both sides of the join are plain shuffles, which adaptive
+    # execution can split where a group of copies is large.
+    groups = materialize(groups.where("group_size > 1"), "copies")
+    several = survivors.join(groups, "full", "left")
     alone = rows.where("full is null").select(
         "*", F.lit(None).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size")
     )
