@@ -159,7 +159,7 @@ def predict_languages(
         for batch in batches:
             texts = batch.column(place)
             named, scores, doubts = [], [], []
-            for a, b in steps(texts, 2 * 1024 * 1024):
+            for a, b in steps(texts, 1024 * 1024):
                 body = [t or "" for t in texts.slice(a, b - a).to_pylist()]
                 bucket, starts, letters = trigrams(body)
                 best = np.full(len(body), len(languages) - 1)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bindery.llm.common import steps
-from bindery.llm.tokens import encoder
+from bindery.llm.tokens import STEP_BYTES, encoder
 
 WINDOW = 4096
 #: Tokens that wait for a window in one task.
@@ -188,7 +188,7 @@ def pack_documents(
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in steps(texts):
+            for a, b in steps(texts, STEP_BYTES):
                 ids, ends = encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     own = np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)).astype("<u4")

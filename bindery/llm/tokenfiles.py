@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindery.llm.common import shuffle_width, steps
-from bindery.llm.tokens import encoder
+from bindery.llm.tokens import STEP_BYTES, encoder
 
 #: About so many documents, and so many characters of each, train the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2_000, 20_000, 64 * 1024
@@ -106,7 +106,7 @@ def write_token_files(
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in steps(texts):
+            for a, b in steps(texts, STEP_BYTES):
                 ids, ends = encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     own = np.append(ids[ends[i] : ends[i + 1]], end_id).astype(kind)

@@ -11,8 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Distinct pieces a worker remembers before it starts afresh (about 150 bytes each).
-REMEMBERED = 500_000
+#: Distinct words a worker remembers, about 200 bytes each.
+REMEMBERED = 300_000
+#: Text that is encoded at a time.
+STEP_BYTES = 3 * 1024 * 1024
 
 #: The steps before the merges for which the shorter way holds.
 NORMALIZER = {
@@ -64,7 +66,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Encodes every distinct piece between ASCII white space once.
+    """Encodes every distinct piece between ASCII white space once a step.
 
     Holds for tokenizers that drop white space, split at it and treat what lies
     between alone, as those with word-end marks do; special tokens must hold no
@@ -76,12 +78,10 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.words, self.older, self.remembered = {}, {}, remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         self.short_way = (
             spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
@@ -93,33 +93,32 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= self.remembered:
-                self.words.clear()
-            tokens = self.tokenizer.model.tokenize(word.translate(self.letters))
-            found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            found = self.older.get(word)
+            if found is None:
+                tokens = self.tokenizer.model.tokenize(word.translate(self.letters))
+                found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            if len(self.words) >= self.remembered // 2:  # the words in use move on
+                self.older, self.words = self.words, {}
             self.words[word] = found
         return found
 
     def _short(self, piece: str) -> bytes | None:
         """Ids of a piece of plain characters, None for any other."""
-        if not PLAIN(piece) or self.marks.search(piece):
+        if not PLAIN(piece) or ("<" in piece and self.marks.search(piece)):
             return None
         return b"".join(map(self._word, PARTS.findall(piece.lower())))
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        new = [piece for piece in pieces if piece not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.remembered:
-                self.known = {"": b""}
-                new = [piece for piece in pieces if piece]
-            if self.short_way:
-                short = {piece: self._short(piece) for piece in new}
-                self.known.update((p, ids) for p, ids in short.items() if ids is not None)
-                new = [piece for piece, ids in short.items() if ids is None]
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            for piece, found in zip(new, encoded):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [self.known[piece] for piece in pieces]
+        found: list[bytes | None] = [None] * len(pieces)
+        if self.short_way:
+            found = [self._short(piece) if piece else b"" for piece in pieces]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        encoded = self.tokenizer.encode_batch_fast(
+            [pieces[i] for i in rest], add_special_tokens=False
+        )
+        for i, one in zip(rest, encoded):
+            found[i] = np.array(one.ids, dtype="<u4").tobytes()
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more entry than texts).
