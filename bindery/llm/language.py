@@ -47,7 +47,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     known = kept("letters", _letters)
     texts = [t.lower() for t in texts]
-    points = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "replace"), "<u4")
+    points = np.frombuffer(" ".join(["", *texts, "", ""]).encode("utf-32-le", "replace"), "<u4")
     letter = known[points]
     points = np.where(letter, points, 32).astype(np.uint32)
     a, b, c = points[:-2], points[1:-1], points[2:]

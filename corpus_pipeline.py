@@ -17,10 +17,10 @@ from bindery.scratch import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those nearly as close to a second language."""
+    """Drop documents without a letter, and those in which no language outweighs the rest."""
     model = language.fit_languages(docs.where(~F.coalesce(language.held_out(), F.lit(False))))
     rows = language.predict_languages(docs, model)
-    kept = (F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")
+    kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0.5)
     return rows.where(kept).select(*docs.columns)
 
 
