@@ -9,10 +9,6 @@ from bindery.functions.paths import parse_types
 
 MIB = 1024 * 1024
 
-# Default limits.
-MAX_FILE_BYTES = 1024 * MIB
-MAX_FILES = 100_000
-
 # Bytes of one shard, which its last file may exceed: as a file, and as a row.
 # An aggregating task holds up to 128 rows at a time before Spark sorts instead.
 FILE_SHARD_BYTES = 128 * MIB
@@ -24,13 +20,13 @@ class PackConfig:
     """Admission rules and output form, checked when the object is made.
 
     `types` takes a comma-separated text or a list; `all_types` overrides it.
-    `file_cap` of None means no cap. Raises `GlobError` for a bad pattern.
+    `max_bytes` and `file_cap` of None mean no limit. Raises `GlobError` for a bad pattern.
     """
 
     include_hidden: bool = False
     recursive: bool = True
     skip_patterns: tuple[str, ...] = ()
-    max_bytes: int = MAX_FILE_BYTES
+    max_bytes: int | None = None
     name_pattern: str | None = None
     types: str | tuple[str, ...] = ()
     all_types: bool = False
@@ -43,7 +39,7 @@ class PackConfig:
     def __post_init__(self):
         for pattern in (*self.skip_patterns, *filter(None, [self.name_pattern])):
             glob_body(pattern)
-        if self.max_bytes < 0 or self.shard_bytes < 1:
+        if (self.max_bytes or 0) < 0 or self.shard_bytes < 1:
             raise ValueError("max_bytes must not be negative and shard_bytes must be positive")
 
     @property

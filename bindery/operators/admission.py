@@ -17,6 +17,7 @@ from bindery.scratch import materialize
 cloudpickle.register_pickle_by_value(globs)
 
 # Outcomes, in the order the tests are made.
+UNREADABLE = "UNREADABLE"
 DOT, SKIP, SIZE, NAME, TYPE, CAP, OK = "DOT", "SKIP", "SIZE", "NAME", "TYPE", "CAP", "OK"
 
 # A pattern table up to this size becomes one regex; beyond it, a keyed join.
@@ -45,14 +46,16 @@ def allowed_type(ext: Column, extensions: list[str]) -> Column:
 def _rejections(cfg: PackConfig, skipped: Column | None) -> list[tuple[Column, str]]:
     """(test that rejects a file, its reason), in the order the tests are made."""
     base, path = F.col("base_name"), F.col("path")
-    tests: list[tuple[Column, str]] = []
+    # A file without a path has no frame; the other tests are never null after this one.
+    tests: list[tuple[Column, str]] = [(path.isNull(), UNREADABLE)]
     if not cfg.include_hidden:
         tests.append((is_dot(base), DOT))
     if skipped is not None:
         tests.append((skipped, SKIP))
     elif cfg.skip_patterns:
         tests.append((matches_skip(base, path, cfg.skip_patterns), SKIP))
-    tests.append((~within_size(F.col("size"), cfg.max_bytes), SIZE))
+    if cfg.max_bytes is not None:
+        tests.append((~within_size(F.col("size"), cfg.max_bytes), SIZE))
     if cfg.name_pattern:
         tests.append((~globs.matches_glob(base, cfg.name_pattern), NAME))
     if cfg.extensions:
@@ -99,13 +102,16 @@ def skip_by_table(
 
     A short table (its size is checked, not assumed) becomes one regex, tested
     where the files are. A longer one is joined on text fragments: every glob
-    with a literal run can only match paths that contain that run.
+    with a literal run can only match paths that contain that run. Either way a
+    file without a path matches nothing and stays, and a bad glob raises `GlobError`
+    before any file is read.
     """
     name = patterns.columns[0]
     distinct = patterns.select(F.col(name).alias("pattern")).na.drop().distinct()
     short = [r.pattern for r in distinct.limit(inline_limit + 1).collect()]
     if len(short) <= inline_limit:
-        return files.filter(~matches_skip(F.col("base_name"), F.col("path"), short))
+        matched = matches_skip(F.col("base_name"), F.col("path"), short)
+        return files.filter(~F.coalesce(matched, F.lit(False)))
     skipped = _skipped_keys(files, distinct)
     return files.join(skipped, ["bundle", "seq"], "left_anti")
 
@@ -119,15 +125,22 @@ def _fragments(path: Column, width: int) -> Column:
 
 
 def _skipped_keys(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    @F.pandas_udf("struct<key: string, regex: string>")
+    @F.pandas_udf("struct<key: string, regex: string, fault: string>")
     def compile_globs(pattern: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"key": pattern.map(globs.literal_key), "regex": pattern.map(globs.glob_to_regex)}
-        )
+        rows = []
+        for one in pattern:
+            try:
+                rows.append((globs.literal_key(one), globs.glob_to_regex(one), None))
+            except globs.GlobError as fault:
+                rows.append((None, None, str(fault)))
+        return pd.DataFrame(rows, columns=["key", "regex", "fault"])
 
     compiled = materialize(
-        patterns.select(compile_globs("pattern").alias("c")).select("c.key", "c.regex"), "globs"
+        patterns.select(compile_globs("pattern").alias("c")).select("c.*"), "globs"
     )
+    bad = compiled.filter(F.col("fault").isNotNull()).first()
+    if bad:
+        raise globs.GlobError(bad.fault)
     widths = [r.n for r in compiled.select(F.length("key").alias("n")).distinct().collect()]
     keys = F.array_distinct(F.concat(*(_fragments(F.col("path"), n) for n in sorted(widths))))
     # A fragment that very many paths share is spread over `SALTS` tasks.

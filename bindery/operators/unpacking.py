@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import frames, integrity, text
+from bindery.scratch import materialize
 
 # What a record of a bundle is.
 TEXT, BINARY, KEY, BAD_HEADER = "text", "binary", "key", "bad_header"
@@ -84,15 +85,25 @@ def restore(unpacked: DataFrame) -> DataFrame:
 
 
 def last_wins(rows: DataFrame, order: Column | str = "seq") -> DataFrame:
-    """Last row per (bundle, path).
+    """Last row per (bundle, path); `order` is unique within a path.
 
-    An aggregate rather than a window: each task first reduces its own rows,
-    so a path with very many copies sends one row per task.
+    Only keys are reduced: paths that repeat, of which there are few, are written as a
+    table with their last place, and the rows before it are filtered out. Content stays
+    where it is as long as that table is small enough to be broadcast by its size.
     """
     order = F.col(order) if isinstance(order, str) else order
     others = [c for c in rows.columns if c not in ("bundle", "path")]
-    best = F.max_by(F.struct(*others), order).alias("_row")
-    return rows.groupBy("bundle", "path").agg(best).select("bundle", "path", "_row.*")
+    placed = rows.withColumn("_place", order)
+    repeated = placed.groupBy("bundle", "path").agg(
+        F.max("_place").alias("_last"), F.count(F.lit(1)).alias("_rows")
+    )
+    repeated = materialize(repeated.filter(F.col("_rows") > 1), "repeated").select(
+        F.col("bundle").alias("_bundle"), F.col("path").alias("_path"), "_last"
+    )
+    same = F.col("bundle").eqNullSafe(F.col("_bundle")) & F.col("path").eqNullSafe(F.col("_path"))
+    joined = placed.join(repeated, same, "left")
+    last = F.col("_last").isNull() | (F.col("_place") == F.col("_last"))
+    return joined.filter(last).select("bundle", "path", *others)
 
 
 def extract_counts(unpacked: DataFrame) -> DataFrame:

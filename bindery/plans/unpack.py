@@ -20,14 +20,30 @@ def unpack_bundles(
     on_fail: str = "abort",
     prefix: str = "",
     foldered: bool = True,
+    bundle: str | None = None,
+    flat: bool = True,
 ) -> int:
     """Extract bundle files into `out`; returns the number of files written.
 
-    `foldered` is false for plain bundle files outside `write_bundles` folders.
-    `signed` checks each frame against its header, `manifest` against a
-    manifest table; both run before the first file is written.
+    `foldered` is false for plain bundle files outside `write_bundles` folders, whose
+    bundle is then called `bundle`, or after the file. `flat` writes the files of all
+    bundles into one folder and raises if two bundles have the same path; otherwise
+    each bundle gets a folder.
+
+    Only the last frame of a path counts, also for the checks. `signed` checks it
+    against its header, `manifest` against a manifest table; both run before the first
+    file is written. A manifest of which no file is found raises under `abort`.
     """
-    unpacked = unpacking.require_files(read_bundles(spark, bundles, foldered))
+    frames = read_bundles(spark, bundles, foldered)
+    if bundle is not None:
+        frames = frames.withColumn("bundle", F.lit(bundle))
+    unpacked = unpacking.last_wins(
+        unpacking.text_frames(unpacking.require_files(frames)), "pos"
+    )
+    if flat:
+        shared = unpacked.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+        if shared:
+            raise ValueError(f"several bundles hold {shared.path}; extract with flat=False")
     if signed:
         checked = integrity.verify_signatures(unpacked, key)
         unpacked, _ = integrity.extract_policy(checked, on_fail)
@@ -35,7 +51,12 @@ def unpack_bundles(
     if manifest is not None:
         digests = integrity.frame_digests(unpacked.withColumnRenamed("pos", "seq"), key)
         status = integrity.verify(digests, manifest)
+        if on_fail == "abort" and status.filter(F.col("status") == integrity.OK).isEmpty():
+            if not manifest.isEmpty():
+                raise integrity.VerificationError("the bundles hold no file of the manifest as it is")
         _, bad = integrity.extract_policy(status, on_fail)
         unpacked = unpacked.join(bad.select("bundle", "path"), ["bundle", "path"], "left_anti")
-    restored = unpacking.restore(unpacked).withColumn("bundle", F.lit(""))
+    restored = unpacking.restore(unpacked)
+    if flat:
+        restored = restored.withColumn("bundle", F.lit(""))
     return extract_files(restored, out, order="pos", prefix=prefix)

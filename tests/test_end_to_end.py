@@ -277,3 +277,14 @@ def test_stream_packs_each_batch(spark, tmp_path, make_files):
     assert texts[1] == model.pack([(p, d) for _, p, d in rows[3:] if p != "p4"])
     with pytest.raises(ValueError):
         pack_stream(stream, PackConfig(file_cap=1), "x", "y")
+
+
+def test_same_path_in_two_bundles(spark, make_files, tmp_path):
+    rows = [("A", "x.txt", b"from a\n"), ("B", "x.txt", b"from b\n"), ("B", "y.txt", b"y\n")]
+    pack_files(make_files(rows), PackConfig(), str(tmp_path / "out"))
+    bundles = str(tmp_path / "out" / "bundles")
+    with pytest.raises(ValueError, match="x.txt"):
+        unpack_bundles(spark, bundles, str(tmp_path / "flat"))
+    assert unpack_bundles(spark, bundles, str(tmp_path / "apart"), flat=False) == 3
+    assert (tmp_path / "apart" / "A" / "x.txt").read_text() == "from a\n"
+    assert (tmp_path / "apart" / "B" / "x.txt").read_text() == "from b\n"

@@ -177,3 +177,28 @@ def test_observed_counters(make_files):
         packing.render(make_files([("b", "a", b"x"), ("b", "z", b"\0")])))
     rendered.write.format("noop").mode("overwrite").save()
     assert watch.get["files"] == 2 and watch.get["binary"] == 1 and watch.get["bytes"] > 40
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_pattern_table_treats_nulls_and_faults_alike(spark, limit):
+    files = spark.createDataFrame(
+        [(1, "b", "a/x.log", "x.log"), (2, "b", None, None), (3, "b", "a/y.txt", "y.txt")],
+        "seq long, bundle string, path string, base_name string",
+    )
+    globs = spark.createDataFrame([("*.log",), ("??",)], "glob string")
+    kept = admission.skip_by_table(files, globs, inline_limit=limit)
+    assert sorted(r.seq for r in kept.collect()) == [2, 3]
+    bad = spark.createDataFrame([("a**b",)], "glob string")
+    with pytest.raises(ValueError, match="whole path component"):
+        admission.skip_by_table(files, bad, inline_limit=limit)
+
+
+def test_null_path_has_a_reason(spark):
+    files = spark.createDataFrame(
+        [(1, "b", None, None, None, 3), (2, "b", "x", "x", "", 2**40)],
+        "seq long, bundle string, path string, base_name string, ext string, size long",
+    )
+    cfg = PackConfig(include_hidden=True)
+    reasons = {r.seq: r.reason for r in admission.with_reason(files, cfg).collect()}
+    assert reasons == {1: "UNREADABLE", 2: "OK"}
+    assert [r.seq for r in admission.admit(files, cfg).collect()] == [2]
