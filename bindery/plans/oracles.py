@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from bindery.config import MAX_FILE_BYTES, ROW_SHARD_BYTES
+from bindery.config import ROW_SHARD_BYTES
 from bindery.functions import globs
 from bindery.functions.frames import FRAME_OVERHEAD
 from bindery.functions.integrity import HMAC_BLOCK, INNER_PAD, OUTER_PAD
@@ -223,7 +223,7 @@ select {_ADMIT} as reason, count(*) as files, sum(size)::bigint as bytes
 from files group by 1""",
     "capped_reason": f"""with {FILES}, reasoned as (
   select seq, case when starts_with(base_name, '.') then 'DOT'
-    when size > {MAX_FILE_BYTES} then 'SIZE' else 'OK' end as r from files)
+    else 'OK' end as r from files)
 select seq, case when r = 'OK' and row_number() over (partition by r order by seq) > {CAP_TOTAL}
   then 'CAP' else r end as reason from reasoned""",
     "file_cap": f"""with {FILES}
