@@ -54,7 +54,7 @@ class PrefixEncoder:
         parts = sorted(self.special, key=len, reverse=True)
         self.splitter = regex.compile("|".join(map(regex.escape, parts))) if parts else None
         self.pattern = regex.compile(PATTERN)
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.known, self.older = remembered, {}, {}
 
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.rank = {}
@@ -63,10 +63,10 @@ class PrefixEncoder:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.rank[left, right] = rank
             self.made_of.setdefault(whole, (left, right, rank))
+            if any(part in self.made_of and self.made_of[part][2] >= rank for part in (left, right)):
+                raise ValueError("a merge must come after those that make its halves")
         self.never = len(merges)
-        self.tails: dict[int, list[tuple[int, int]]] = {}
-        self.heads: dict[int, list[tuple[int, int]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
@@ -77,51 +77,60 @@ class PrefixEncoder:
                       if all(c in byte_of for c in token)}
         self.bytes.update({i: t.encode() for t, i in self.special.items()})
 
-    def _stages(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The symbols at one side of a token as it is built, and the merge that ends each."""
-        stages, end = [], self.never
-        while True:
-            stages.append((token, end))
-            if token not in self.made_of:
-                return stages
-            *halves, end = self.made_of[token]
-            token = halves[side]
-
     def compatible(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
+        """Does the border between two tokens last while both are built?
+
+        Goes back in time from the whole tokens: the half that was made later is undone
+        first, so only symbols that stood beside each other are looked up.
+        """
+        border = left << 32 | right
+        found = self.fits.get(border)
         if found is None:
             if len(self.fits) > self.remembered:
                 self.fits.clear()
-            if left not in self.tails:
-                self.tails[left] = self._stages(left, 1)
-            if right not in self.heads:
-                self.heads[right] = self._stages(right, 0)
-            # Of equal merges the leftmost goes first: one inside the left token wins
-            # against the border, and the border wins against one inside the right.
-            found = not any(
-                (rank := self.rank.get((a, b), self.never)) < a_ends and rank <= b_ends and rank < self.never
-                for a, a_ends in self.tails[left]
-                for b, b_ends in self.heads[right]
-            )
-            self.fits[left, right] = found
+            a, b, a_ends, b_ends = left, right, self.never, self.never
+            found = True
+            while True:
+                # Of equal merges the leftmost goes first: one inside the left token wins
+                # against the border, and the border wins against one inside the right.
+                rank = self.rank.get((a, b), self.never)
+                if rank < a_ends and rank <= b_ends:
+                    found = False
+                    break
+                a_made, b_made = self.made_of.get(a), self.made_of.get(b)
+                if a_made and (not b_made or a_made[2] > b_made[2]):
+                    _, a, a_ends = a_made
+                elif b_made:
+                    b, _, b_ends = b_made
+                else:
+                    break
+            self.fits[border] = found
         return found
 
     def piece(self, text: str) -> list[int]:
         """Ids of one piece of the pattern."""
         letters = "".join(map(self.letter.__getitem__, text.encode("utf-8", "replace")))
-        last = [(0, -1)] * (len(letters) + 1)  # start and id of the token that ends here
+        fits = self.fits
+        # Of the token that ends at each place: where it starts, and its id.
+        starts, tokens = [0] * (len(letters) + 1), [-1] * (len(letters) + 1)
         done = 0
         for end, (size, token) in self.automaton.iter(letters):
             stop = end + 1
             if done == stop:
                 continue
             start = stop - size
-            if not start or self.compatible(last[start][1], token):
-                last[stop], done = (start, token), stop
+            if start:
+                left = tokens[start]
+                fit = fits.get(left << 32 | token)
+                if fit is None:
+                    fit = self.compatible(left, token)
+                if not fit:
+                    continue
+            starts[stop], tokens[stop], done = start, token, stop
         ids, stop = [], len(letters)
         while stop:
-            stop, token = last[stop]
-            ids.append(token)
+            ids.append(tokens[stop])
+            stop = starts[stop]
         return ids[::-1]
 
     def _plain(self, text: str, out: list[np.ndarray]) -> None:
@@ -129,9 +138,10 @@ class PrefixEncoder:
         for piece in self.pattern.findall(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) > self.remembered:
-                    known.clear()
-                ids = self.piece(piece)
+                ids = self.older.get(piece) or self.piece(piece)
+                if len(known) >= self.remembered // 2:  # the pieces in use move on
+                    self.older, self.known = known, {}
+                    known = self.known
                 if len(piece) <= 64:
                     known[piece] = ids
             out += ids
