@@ -95,6 +95,14 @@ def is_key_header(header: Column) -> Column:
     return F.startswith(header, F.lit(KEY_OPEN)) & F.endswith(_trimmed(header), F.lit("]"))
 
 
+def path_survives(path: Column) -> Column:
+    """Is the path read back as it is from a plain and from a signed header? False for null."""
+    plain = F.substring_index(F.concat(path, F.lit(HEADER_SUFFIX)), LF, 1)
+    signed = F.substring_index(F.concat(path, F.lit(SIGNATURE_OPEN + "x" + SIGNATURE_CLOSE)), LF, 1)
+    read = (header_path(plain) == path) & (header_path(signed) == path) & ~is_key_header(signed)
+    return F.coalesce(read, F.lit(False))
+
+
 def header_key(header: Column) -> Column:
     """Key text of a key header."""
     h = _trimmed(header)

@@ -43,11 +43,17 @@ def allowed_type(ext: Column, extensions: list[str]) -> Column:
     return ext.isin(*extensions) if extensions else F.lit(True)
 
 
-def _rejections(cfg: PackConfig, skipped: Column | None) -> list[tuple[Column, str]]:
-    """(test that rejects a file, its reason), in the order the tests are made."""
+def _rejections(
+    cfg: PackConfig, skipped: Column | None = None, held: bool = False
+) -> list[tuple[Column, str]]:
+    """(test that rejects a file, its reason), in the order the tests are made.
+
+    `held` says that the rows have their content, of which a null size means there is none.
+    """
     base, path = F.col("base_name"), F.col("path")
-    # A file without a path has no frame; the other tests are never null after this one.
-    tests: list[tuple[Column, str]] = [(path.isNull(), UNREADABLE)]
+    # A file without path or content has no frame; the other tests are never null after this.
+    unreadable = path.isNull() | F.col("size").isNull() if held else path.isNull()
+    tests: list[tuple[Column, str]] = [(unreadable, UNREADABLE)]
     if not cfg.include_hidden:
         tests.append((is_dot(base), DOT))
     if skipped is not None:
@@ -63,13 +69,16 @@ def _rejections(cfg: PackConfig, skipped: Column | None) -> list[tuple[Column, s
     return tests
 
 
-def admission_reason(cfg: PackConfig, skipped: Column | None = None) -> Column:
+def admission_reason(
+    cfg: PackConfig, skipped: Column | None = None, held: bool = False
+) -> Column:
     """First failing test per file, or OK.
 
     Expects `path`, `base_name`, `ext` and `size`. `skipped` replaces the skip
-    patterns of the settings with a flag computed elsewhere.
+    patterns of the settings with a flag computed elsewhere. `held` rows have their
+    content; a null size is then null content.
     """
-    (first, label), *others = _rejections(cfg, skipped)
+    (first, label), *others = _rejections(cfg, skipped, held)
     chain = F.when(first, F.lit(label))
     for test, label in others:
         chain = chain.when(test, F.lit(label))
@@ -78,13 +87,14 @@ def admission_reason(cfg: PackConfig, skipped: Column | None = None) -> Column:
 
 def with_reason(files: DataFrame, cfg: PackConfig) -> DataFrame:
     """Add `reason`; with a file cap, later admitted files get CAP."""
-    reasoned = files.withColumn("reason", admission_reason(cfg))
+    reason = admission_reason(cfg, held="content" in files.columns)
+    reasoned = files.withColumn("reason", reason)
     return reasoned if cfg.file_cap is None else mark_cap(reasoned, cfg.file_cap)
 
 
 def admit(files: DataFrame, cfg: PackConfig) -> DataFrame:
     """Files with reason OK, by plain conditions that scans can evaluate."""
-    for test, _ in _rejections(cfg, None):
+    for test, _ in _rejections(cfg, held="content" in files.columns):
         files = files.filter(~test)
     return files if cfg.file_cap is None else file_cap(files, cfg.file_cap, per_bundle=False)
 
@@ -161,10 +171,10 @@ def cap_limits(
 ) -> DataFrame:
     """Last `seq` inside the cap, for each block that has one.
 
-    Reads only the order columns. Ranks come from block counts, so that no
+    Reads only the order columns. Ranks come from counts of ranges, so that no
     task ever sorts a whole bundle.
     """
-    ranked = running_total(files.select(*groups, "seq"), groups, "seq", F.lit(1), "rank", span)
+    ranked = running_total(files.select(*groups, "seq"), groups, "seq", F.lit(1), "rank")
     return (
         ranked.filter(F.col("rank") <= n)
         .groupBy(*groups, block_start(F.col("seq"), span).alias("_block"))

@@ -29,8 +29,12 @@ def signed_text(squeezed: bool = True) -> Column:
 def render(
     files: DataFrame, squeezed: bool = True, signed: bool = False, key: bytes | None = None
 ) -> DataFrame:
-    """Add `is_binary` and `frame`; drops `content`. No shuffle."""
-    bodied = with_body(files, squeezed)
+    """Add `is_binary` and `frame`; drops `content`. No shuffle.
+
+    A file without path or content has no frame and is left out.
+    """
+    whole = files.filter(F.col("path").isNotNull() & F.col("content").isNotNull())
+    bodied = with_body(whole, squeezed)
     signature = integrity.signature(signed_text(squeezed), key) if signed else None
     frame = frames.render_frame(F.col("path"), F.col("body"), F.col("is_binary"), signature)
     return bodied.withColumn("frame", frame).drop("content", "body")
@@ -45,7 +49,6 @@ def shard_plan(
     files: DataFrame,
     budget: int = ROW_SHARD_BYTES,
     weight: Column | None = None,
-    span: int = BLOCK_SPAN,
 ) -> DataFrame:
     """`bundle, seq, shard`: the budget step in which a file begins.
 
@@ -55,7 +58,7 @@ def shard_plan(
     slim = files.select(
         "bundle", "seq", (pack_weight() if weight is None else weight).alias("_weight")
     )
-    total = running_total(slim, ["bundle"], "seq", F.col("_weight"), "_end", span)
+    total = running_total(slim, ["bundle"], "seq", F.col("_weight"), "_end")
     return total.select("bundle", "seq", F.expr(f"_end_before div {int(budget)}").alias("shard"))
 
 
@@ -76,7 +79,7 @@ def assign_shards(
     The join side has one row per block, not per file: Spark broadcasts it
     where its measured size allows, and the content then stays where it is.
     """
-    cuts = shard_cuts(shard_plan(files, budget, span=span), span)
+    cuts = shard_cuts(shard_plan(files, budget), span)
     last = F.expr("element_at(filter(_cuts, c -> c.start <= seq), -1).shard")
     return (
         rows.withColumn("_block", block_start(F.col("seq"), span))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bindery.scratch import materialize
+
 BLOCK_SPAN = 4096
 
 
@@ -14,46 +16,41 @@ def block_start(order: Column, span: int = BLOCK_SPAN) -> Column:
 
 
 def running_total(
-    df: DataFrame,
-    groups: list[str],
-    order: str,
-    value: Column,
-    out: str,
-    span: int = BLOCK_SPAN,
+    df: DataFrame, groups: list[str], order: str, value: Column, out: str
 ) -> DataFrame:
     """Add `out`, the inclusive running sum of `value` by `order` in each group,
-    and `<out>_before`, the same without the row itself.
-
-    A single window over a hot group would be one task. Rows are summed in
-    blocks of `span` order values instead; only block totals go through the
-    per-group window, and each block adds the total before it. Blocks depend on
-    the order value alone, so a recomputed task gives the same answer.
+    and `<out>_before`, the same without the row itself. A null value counts as 0.
 
-    Both branches read the same shuffle when `df` has no further columns: the
-    totals then ask for the same columns as the rows (hence `_last`), and none
-    can be null (hence the defaults), so that no filter tells them apart.
+    A single window over a hot group would be one task. Rows are dealt by ranges of
+    (group, order) instead and summed within each range; only the totals, one for each
+    group and range, go through the per-group window. So it sees as many rows of a group
+    as there are partitions, whatever the gaps between order values. The dealt rows are
+    written, so that a recomputed task finds the same ranges: give few columns.
     """
-    inside = Window.partitionBy(*groups, "_block").orderBy(order)
-    before = Window.partitionBy(*groups).orderBy("_block")
-    keyed = (
+    dealt = (
         df.withColumn(order, F.coalesce(F.col(order), F.lit(0)))
         .withColumn("_value", F.coalesce(value.cast("long"), F.lit(0)))
-        .withColumn("_block", block_start(F.col(order), span))
-        .repartition(*groups, "_block")
-    )
-    totals = keyed.groupBy(*groups, "_block").agg(
-        F.sum("_value").alias("_sum"), F.max(order).alias("_last")
+        .repartitionByRange(*groups, order)
+        .withColumn("_part", F.spark_partition_id())
     )
+    rows = materialize(dealt, "ordered")
+    totals = rows.groupBy(*groups, "_part").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_part")
     earlier = F.sum("_sum").over(before.rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
-        *groups, "_block", "_last", F.coalesce(earlier, F.lit(0)).alias("_offset")
+        *(F.col(g).alias(f"_of_{g}") for g in groups),
+        F.col("_part").alias("_of_part"),
+        F.coalesce(earlier, F.lit(0)).alias("_offset"),
     )
+    same = F.col("_part") == F.col("_of_part")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    inside = Window.partitionBy(*groups, "_part").orderBy(order)
     partial = F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        keyed.withColumn("_partial", partial)
-        .join(offsets, [*groups, "_block"])
-        .filter(F.col(order) <= F.col("_last"))
+        rows.withColumn("_partial", partial)
+        .join(offsets, same)
         .withColumn(out, F.col("_partial") + F.col("_offset"))
         .withColumn(f"{out}_before", F.col(out) - F.col("_value"))
-        .drop("_block", "_value", "_last", "_partial", "_offset")
+        .drop("_part", "_value", "_partial", *offsets.columns)
     )

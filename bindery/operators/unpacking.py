@@ -124,13 +124,18 @@ def require_files(unpacked: DataFrame) -> DataFrame:
 
 def bundle_audit(files: DataFrame) -> DataFrame:
     """Per file: would its frame be misread, is it UTF-8, does a round trip
-    change it. Reads each file once, no shuffle."""
+    change it, would its path be read as another. Reads each file once, no shuffle.
+
+    Null content has no frame and is `lossy`; a null path is a `bad_path`.
+    """
     content = F.col("content")
     body = text.canonical_text(content)
+    restored = text.restore_text(F.col("_body")).cast("binary")
     return (
         files.withColumn("_body", body)
         .withColumn("collides", frames.collides(F.col("_body")))
-        .withColumn("not_utf8", ~text.is_utf8(content))
-        .withColumn("lossy", text.restore_text(F.col("_body")).cast("binary") != content)
+        .withColumn("not_utf8", ~F.coalesce(text.is_utf8(content), F.lit(True)))
+        .withColumn("lossy", ~restored.eqNullSafe(content))
+        .withColumn("bad_path", ~frames.path_survives(F.col("path")))
         .drop("_body")
     )

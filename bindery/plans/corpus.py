@@ -41,8 +41,28 @@ RAW_SQL = """case doc_id % 7
 TYPES_TEXT_SQL = """concat(' ', lang, ', .', source, ',,', lang,
   case when doc_id % 2 = 0 then ',txt , .txt' else ',' end)"""
 
-# Length of the byte prefix that stands for a file cut short.
-CUT_BYTES_SQL = "(20 + doc_id % 50)"
+# A text that ends in a letter of two bytes.
+LETTER_ENDED_SQL = "concat(coalesce(text, ''), chr(233))"
+
+# One glob a label; those of good documents match no file.
+LABEL_GLOB_SQL = """concat('*d', case when quality = 0 or toxic = 1 then 'o' else 'a' end,
+  'c_', doc_id, '.*')"""
+
+# Unique order values, far apart.
+SPARSE_SQL = "seq * 48271 % 2147483647 * 5000"
+
+NO_PATH_SQL = "doc_id % 5 = 1"
+NO_CONTENT_SQL = "doc_id % 7 = 3"
+
+ODD_PATH_SQL = """case doc_id % 8
+  when 0 then concat(source, chr(10), doc_id)
+  when 1 then concat(' ', source, '/', doc_id)
+  when 2 then concat(source, ' --- [SIGNATURE:', doc_id, ']')
+  when 3 then concat(source, ' --- ', doc_id)
+  when 4 then concat(source, '/', doc_id, chr(9))
+  when 5 then concat('PUBLIC_KEY --- [KEY:', doc_id)
+  when 6 then null
+  else concat(source, '/', doc_id) end"""
 
 HEADER_TEXT_SQL = """case doc_id % 6
   when 0 then concat(source, '/', doc_id, ' ---')

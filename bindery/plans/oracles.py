@@ -10,8 +10,8 @@ from bindery.functions.frames import FRAME_OVERHEAD
 from bindery.functions.integrity import HMAC_BLOCK, INNER_PAD, OUTER_PAD
 from bindery.functions.text import BLANK_CLASS, HEAD_BYTES
 from bindery.plans.corpus import (
-    ADMIT_MAX, ADMIT_NAME, BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, CUT_BYTES_SQL,
-    HEADER_PATH_SQL, HEADER_TEXT_SQL, HMAC_KEY, KEY_TEXT_SQL, NAME_PATTERNS, PATH_SQL, RAW_SQL,
+    ADMIT_MAX, ADMIT_NAME, BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, LETTER_ENDED_SQL,
+    NO_CONTENT_SQL, NO_PATH_SQL, ODD_PATH_SQL, SPARSE_SQL, HEADER_PATH_SQL, HEADER_TEXT_SQL, HMAC_KEY, KEY_TEXT_SQL, NAME_PATTERNS, PATH_SQL, RAW_SQL,
     REPO_TEXT_SQL, SIZE_LIMIT, SKIP_PATTERNS, SMALL_BUDGET, TYPES_TEXT_SQL,
 )
 
@@ -229,6 +229,18 @@ select seq, case when r = 'OK' and row_number() over (partition by r order by se
     "file_cap": f"""with {FILES}
 select bundle, seq from files
 qualify row_number() over (partition by bundle order by seq) <= {CAP_PER_BUNDLE}""",
+    "file_cap_sparse": f"""with {FILES}
+select bundle, {SPARSE_SQL} as seq from files
+qualify row_number() over (partition by bundle order by {SPARSE_SQL}) <= {CAP_PER_BUNDLE}""",
+    "admission_nulls": f"""with {FILES}, reasoned as (
+  select seq, case when {NO_PATH_SQL} or {NO_CONTENT_SQL} then 'UNREADABLE' else {_ADMIT} end
+    as reason from (select *, seq as doc_id from files))
+select seq, reason, reason = 'OK' as admitted from reasoned""",
+    "pack_nulls": f"""with {FILES}, {FRAMES}, held as (
+  select bundle, strlen(frame) as n from (select *, seq as doc_id from frames)
+  where not ({NO_PATH_SQL}) and not ({NO_CONTENT_SQL}))
+select bundle, count(*) as n_files, sum(n)::bigint as n_bytes, sum(n)::bigint as text_bytes
+from held group by bundle""",
     "union_inputs": f"""with {FILES}
 select 0::integer as arg, seq, path from files where seq % 3 < 2
 union all select 1::integer, seq, path from files where seq % 3 > 0""",
@@ -238,8 +250,9 @@ union all select 1::integer, seq, path from files where seq % 3 > 0""",
 select arg, path, row_number() over (order by arg, path)::bigint as position from inputs""",
     "binary_flag": f"""with {FILES}, {BODIES}
 select seq, ctl, head_len, is_binary from bodies""",
-    "utf8_text": f"""with cut as (
-  select doc_id as seq, try(decode(encode(text)[1:{CUT_BYTES_SQL}])) as t from documents)
+    "utf8_text": f"""with ended as (select doc_id, {LETTER_ENDED_SQL} as t from documents),
+cut as (
+  select doc_id as seq, try(decode(encode(t)[1:strlen(t) - doc_id % 3])) as t from ended)
 select seq, t is not null as utf8, sha256(coalesce(t, 'Non-UTF8 content')) as sha from cut""",
     "ascii_mask": f"""with {FILES}
 select seq, sha256(array_to_string(list_transform(string_split(raw, ''), lambda c:
@@ -275,6 +288,8 @@ select seq, sha256(frame) as sha from frames""",
     "pack_shards": _packed(SMALL_BUDGET),
     "shard_plan": f"""with {FILES}, {_with_shards(SMALL_BUDGET)}
 select bundle, seq, shard from planned""",
+    "shard_plan_sparse": f"""with {FILES}, {_with_shards(SMALL_BUDGET)}
+select bundle, seq * 5000 as seq, shard from planned""",
     "bundle_names": """select source as bundle,
   source || '_main_' || max(doc_id) || '.txt' as file_name from documents group by source""",
     "unpack_frames": f"""with {FILES}, {FRAMES}, {UNPACKED}
@@ -312,6 +327,8 @@ select bundle, key, coalesce(octet_length(try(from_base64(key))) = 32, false) as
 select seq, contains({LF} || body, {FENCE_LINE}) or contains({LF} || body, {LF} || {PREFIX})
     or starts_with(body, {MARKER} || {LF}) as collides,
   false as not_utf8, {_restored('body')} <> raw as lossy from bodies""",
+    "path_audit": f"""select doc_id as seq, {ODD_PATH_SQL} as path,
+  doc_id % 8 in (0, 1, 2, 4, 5, 6) as bad_path from documents""",
     "integrity_manifest": f"""with {FILES}, {BODIES}
 select bundle, path, size, sha256(body) as sha256, sha256(raw) as raw_sha256
 from bodies where not is_binary""",

@@ -24,7 +24,8 @@ from bindery.sources.walk import catalog_paths, catalog_walk
 from bindery.plans.corpus import (
     BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, HEADER_PATH_SQL, HMAC_KEY, NAME_PATTERNS,
     PATH_SQL, RAW_SQL, REPO_TEXT_SQL, SIZE_LIMIT, SKIP_PATTERNS, SMALL_BUDGET, TYPES,
-    TYPES_TEXT_SQL, HEADER_TEXT_SQL, CUT_BYTES_SQL, KEY_TEXT_SQL, ADMIT_MAX, ADMIT_NAME,
+    TYPES_TEXT_SQL, HEADER_TEXT_SQL, LETTER_ENDED_SQL, KEY_TEXT_SQL, ADMIT_MAX, ADMIT_NAME,
+    LABEL_GLOB_SQL, ODD_PATH_SQL, SPARSE_SQL, NO_CONTENT_SQL, NO_PATH_SQL,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,9 +205,8 @@ def skip_by_table(spark, sf_dir):
 
 @query
 def skip_by_long_table(spark, sf_dir):
-    """One glob per labelled document, through the keyed join."""
-    labels = table(spark, sf_dir, "labels").filter("quality = 0 or toxic = 1")
-    patterns = labels.select(F.expr("concat('*doc_', doc_id, '.*')").alias("pattern"))
+    """One glob per label, of which some match nothing, through the keyed join."""
+    patterns = table(spark, sf_dir, "labels").select(F.expr(LABEL_GLOB_SQL).alias("pattern"))
     files = corpus(spark, sf_dir).select("bundle", "seq", "path", "base_name")
     return admission.skip_by_table(files, patterns, inline_limit=10).select("seq", "path")
 
@@ -222,8 +222,8 @@ def size_filter(spark, sf_dir):
 def size_boundary(spark, sf_dir):
     """Limit per row equal to, or one below, the size of the row."""
     files = corpus(spark, sf_dir)
-    limit = F.expr(BOUNDARY_BYTES)
-    return files.filter(F.col("size") <= limit).select("seq", "size")
+    kept = admission.within_size(F.col("size"), F.expr(BOUNDARY_BYTES))
+    return files.filter(kept).select("seq", "size")
 
 
 @query
@@ -271,6 +271,46 @@ def file_cap(spark, sf_dir):
     return admission.file_cap(files, CAP_PER_BUNDLE)
 
 
+@query
+def file_cap_sparse(spark, sf_dir):
+    """The cap where order values lie far apart and in no order of the table."""
+    files = corpus(spark, sf_dir).select("bundle", F.expr(SPARSE_SQL).alias("seq"))
+    return admission.file_cap(files, CAP_PER_BUNDLE)
+
+
+def _with_nulls(spark, sf_dir) -> DataFrame:
+    """The corpus without some paths and some contents."""
+    return files_from_table(
+        table(spark, sf_dir, "documents"),
+        path=F.expr(f"case when {NO_PATH_SQL} then null else {PATH_SQL} end"),
+        content=F.expr(f"case when {NO_CONTENT_SQL} then null else {RAW_SQL} end"),
+        seq=F.col("doc_id"),
+        bundle=F.col("source"),
+    )
+
+
+@query
+def admission_nulls(spark, sf_dir):
+    """Reasons beside what the pack run admits, with null paths and contents."""
+    files = _with_nulls(spark, sf_dir)
+    reasons = admission.with_reason(files, ADMIT).select("seq", "reason")
+    admitted = admission.admit(files, ADMIT).select("seq", F.lit(True).alias("admitted"))
+    return reasons.join(admitted, "seq", "left").select(
+        "seq", "reason", F.coalesce("admitted", F.lit(False)).alias("admitted")
+    )
+
+
+@query
+def pack_nulls(spark, sf_dir):
+    """Files and bytes packed of a corpus with null paths and contents."""
+    packed = packing.pack(_with_nulls(spark, sf_dir), budget=SMALL_BUDGET)
+    return packed.groupBy("bundle").agg(
+        F.sum("n_files").alias("n_files"),
+        F.sum("n_bytes").alias("n_bytes"),
+        F.sum(F.octet_length("text").cast("long")).alias("text_bytes"),
+    )
+
+
 @query
 def union_inputs(spark, sf_dir):
     """Two overlapping inputs; the overlap is there twice."""
@@ -304,9 +344,10 @@ def binary_flag(spark, sf_dir):
 
 @query
 def utf8_text(spark, sf_dir):
-    """Texts cut inside a character where the cut falls so."""
+    """Whole texts and one letter more, whose last bytes are cut off."""
     docs = table(spark, sf_dir, "documents")
-    content = F.expr(f"substring(cast(text as binary), 1, cast({CUT_BYTES_SQL} as int))")
+    ended = F.expr(f"cast({LETTER_ENDED_SQL} as binary)")
+    content = F.substring(ended, F.lit(1), (F.octet_length(ended) - F.col("doc_id") % 3).cast("int"))
     return docs.select(
         F.col("doc_id").alias("seq"),
         text.is_utf8(content).alias("utf8"),
@@ -397,6 +438,13 @@ def shard_plan(spark, sf_dir):
     return packing.shard_plan(files, SMALL_BUDGET)
 
 
+@query
+def shard_plan_sparse(spark, sf_dir):
+    """The plan where order values lie far apart."""
+    files = corpus(spark, sf_dir).select("bundle", "path", "size", F.expr("seq * 5000").alias("seq"))
+    return packing.shard_plan(files, SMALL_BUDGET)
+
+
 @query
 def bundle_names(spark, sf_dir):
     """Output names per bundle, with the largest seq as the epoch."""
@@ -479,6 +527,16 @@ def collision_audit(spark, sf_dir):
     return audit.select("seq", "collides", "not_utf8", "lossy")
 
 
+@query
+def path_audit(spark, sf_dir):
+    """Paths that a header does and does not give back."""
+    files = files_from_table(
+        table(spark, sf_dir, "documents"),
+        path=F.expr(ODD_PATH_SQL), content=F.expr(RAW_SQL), seq=F.col("doc_id"),
+    )
+    return unpacking.bundle_audit(files).select("seq", "path", "bad_path")
+
+
 # Integrity
 
 

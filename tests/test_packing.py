@@ -62,7 +62,7 @@ def test_shards_are_bounded(make_files):
 
 def test_plan_and_cuts_agree(make_files):
     files = make_files(corpus())
-    plan = packing.shard_plan(files, 500, span=16)
+    plan = packing.shard_plan(files, 500)
     assigned = packing.assign_shards(files, files, 500, span=16)
     assert sorted(map(tuple, plan.collect())) == sorted(
         map(tuple, assigned.select("bundle", "seq", "shard").collect()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bindery.config import PackConfig
 from bindery.operators import admission, integrity, packing, unpacking
+from bindery.operators.prefix import running_total
 from bindery.plans.queries import QUERIES
 from bindery.sinks.bundles import write_bundles
 from bindery.sources.tables import files_from_table
@@ -52,7 +53,7 @@ MAP_ONLY = [
     "dot_filter", "frame_render", "header_parse", "integrity_manifest", "keyed_digest",
     "name_filter", "path_parts", "preview", "roundtrip_text", "signed_frames", "size_filter",
     "skip_filter", "squeeze_blank", "type_filter", "union_inputs", "utf8_text", "repo_name",
-    "safe_path", "type_lists",
+    "safe_path", "type_lists", "path_audit",
 ]
 
 
@@ -85,10 +86,21 @@ def test_filters_reach_a_stored_table(stored):
     assert "content" not in re.search(r"ReadSchema: (\S+)", plan).group(1)
 
 
-def test_shard_plan_reads_the_catalog_once(stored, no_broadcast):
+def test_shard_plan_reads_no_content(stored, no_broadcast):
     plan = final_plan(packing.shard_plan(stored, 1000))
-    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
-    assert "content" not in re.search(r"ReadSchema: (\S+)", plan).group(1)
+    schemas = re.findall(r"ReadSchema: (\S+)", plan)
+    assert schemas and all("content" not in s and "path" not in s for s in schemas)
+
+
+def test_running_totals_sum_ranges_not_rows(spark, no_broadcast):
+    """However sparse the order values, a group's window sees one row per partition."""
+    rows = spark.range(5000).selectExpr("'g' as bundle", "id * 1000003 as seq", "1L as n")
+    total = running_total(rows, ["bundle"], "seq", F.col("n"), "total")
+    assert total.where("total != seq div 1000003 + 1").isEmpty() and total.count() == 5000
+    scan = re.findall(r"Window \[.*?\], \[(.*?)\], \[(.*?)\]", final_plan(total))
+    assert len(scan) == 2
+    assert [("_part" in keys, "_part" in order) for keys, order in sorted(scan, key=len)].count(
+        (False, True)) == 1
 
 
 def test_pack_moves_content_once(stored, spark):
@@ -101,8 +113,10 @@ def test_pack_moves_content_once(stored, spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scans = re.findall(r"ReadSchema: (\S+)", plan)
-    assert sum("content" in s for s in scans) == 1 and len(scans) == 2
-    assert "bundle#" in exchanges(plan)[0] and "shard#" in exchanges(plan)[0]
+    assert sum("content" in s for s in scans) == 1
+    content = [k for k in exchanges(plan) if "shard#" in k and k.count("#") == 2]
+    assert len(content) == 1 and "bundle#" in content[0]
+    assert "BroadcastHashJoin" in plan
 
 
 def test_without_broadcast_no_exchange_is_by_bundle_alone(stored, no_broadcast):
@@ -126,9 +140,12 @@ def test_verify_shuffles_digests_only(stored, no_broadcast):
     assert all("partial_max_by(sha256" in part for part in below)
 
 
-def test_last_wins_reduces_before_the_shuffle(stored):
-    plan = final_plan(unpacking.last_wins(stored.select("bundle", "path", "seq", "content")))
-    assert "partial_max_by" in plan.split("Exchange")[1]
+def test_last_wins_leaves_content_where_it_is(stored):
+    twice = stored.unionByName(stored.withColumn("seq", F.col("seq") + 1000))
+    last = unpacking.last_wins(twice.select("bundle", "path", "seq", "content"))
+    assert last.count() == 200 and last.where("seq < 1000").isEmpty()
+    plan = final_plan(last)
+    assert "BroadcastHashJoin" in plan and not exchanges(plan)
 
 
 def test_written_shards_are_one_file_each(stored, tmp_path):
