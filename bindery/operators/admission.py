@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(globs)
 # Outcomes, in the order the tests are made.
 UNREADABLE = "UNREADABLE"
 DOT, SKIP, SIZE, NAME, TYPE, CAP, OK = "DOT", "SKIP", "SIZE", "NAME", "TYPE", "CAP", "OK"
+# Of arguments and listed names without a file, in the report of a run.
+MISSING = "MISSING"
 
 # A pattern table up to this size becomes one regex; beyond it, a keyed join.
 INLINE_PATTERNS = 2000

@@ -12,7 +12,7 @@ from bindery.operators import admission, integrity, packing
 from bindery.scratch import materialize
 from bindery.sinks.bundles import write_bundles, write_manifest
 from bindery.sources.content import read_content
-from bindery.sources.walk import catalog, catalog_manifest
+from bindery.sources.walk import catalog, catalog_manifest, catalog_paths
 
 
 class NoInputError(ValueError):
@@ -45,13 +45,32 @@ def _write(
     return counters
 
 
+def _report(files: DataFrame, cfg: PackConfig, out: str, missing: int = 0) -> None:
+    """`reason, files, bytes` under `out/report`, from catalog columns alone; `missing`
+    counts arguments and listed names without a file."""
+    counts = admission.admission_counts(admission.with_reason(files, cfg))
+    if missing:
+        lost = files.sparkSession.createDataFrame(
+            [(admission.MISSING, missing, 0)], "reason string, files long, bytes long"
+        )
+        counts = counts.unionByName(lost)
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{out}/report")
+
+
 def pack_files(files: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
-    """Admit, render and write `files` that already have content."""
+    """Admit, render and write `files` that already have content.
+
+    Every run reports its reasons under `out/report`, also one that raises `NoInputError`.
+    """
+    _report(files, cfg, out)
     return _write(admission.admit(files, cfg), cfg, out)
 
 
-def _pack_catalog(listed: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
+def _pack_catalog(
+    listed: DataFrame, cfg: PackConfig, out: str, missing: int
+) -> dict[str, int]:
     """Admission on catalog rows first, so only admitted files are read."""
+    _report(listed, cfg, out, missing)
     admitted = materialize(admission.admit(listed, cfg), "admitted")
     if admitted.isEmpty():
         raise NoInputError("no file matched the criteria")
@@ -64,6 +83,8 @@ def pack_paths(
     spark: SparkSession, roots: Iterable[str], cfg: PackConfig, out: str, name: str
 ) -> dict[str, int]:
     """Pack files and directories into the bundle `name` under `out`."""
+    roots = list(roots)
+    missing = catalog_paths(spark, roots).filter("not exists").count()
     listed = catalog(
         spark,
         roots,
@@ -72,11 +93,12 @@ def pack_paths(
         include_hidden=cfg.include_hidden,
         exclude=[out],
     )
-    return _pack_catalog(listed, cfg, out)
+    return _pack_catalog(listed, cfg, out, missing)
 
 
 def pack_manifest(
     spark: SparkSession, root: str, tracked: DataFrame, cfg: PackConfig, out: str, name: str
 ) -> dict[str, int]:
     """Pack the files of a tracked list (column `path`) that exist under `root`."""
-    return _pack_catalog(catalog_manifest(spark, root, tracked, name), cfg, out)
+    listed = catalog_manifest(spark, root, tracked, name)
+    return _pack_catalog(listed, cfg, out, tracked.count() - listed.count())
