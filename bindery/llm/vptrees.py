@@ -11,7 +11,9 @@ The trees are fitted to a bounded sample of the fingerprints, which sets only ho
 well they split; every fingerprint goes through them. Leaves are the shards: within
 one, distances to a vantage point rule out most pairs, and the rest are compared on
 the whole fingerprint. A shard sends one link for each member to the least of its
-group, never pairs. Equal fingerprints are one from the start.
+group, never pairs. Equal fingerprints are one from the start. A leaf too full for
+one task is cut into blocks: visitors by a hash in one direction, rows at home by
+another in the other, so that every visitor still meets every row at home once.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ RADIUS = 3
 SHINGLE = 3
 #: Fingerprints that a tree is fitted to, and that a leaf should hold at home.
 SAMPLE, LEAF = 16_384, 1_024
+#: Visitors, and as many rows at home, that one task is to compare.
+BLOCK_ROWS = 1 << 17
 DEPTH = 24
 _BLOCK = 1 << 21
 
@@ -127,8 +131,11 @@ def _half(prints: np.ndarray, tree: int) -> np.ndarray:
     return (prints.view(np.uint64) >> np.uint64(32 * tree)).astype(np.uint32)
 
 
-def group_shard(prints: np.ndarray, home: np.ndarray, tree: int, radius: int) -> np.ndarray:
-    """For each fingerprint the least index of those linked to it within the shard."""
+def group_shard(
+    prints: np.ndarray, query: np.ndarray, home: np.ndarray, tree: int, radius: int
+) -> np.ndarray:
+    """For each fingerprint the least index of those linked to it, where one row of the
+    link is a `query` and the other at `home`."""
     root = np.arange(len(prints))
 
     def find(i: int) -> int:
@@ -143,7 +150,7 @@ def group_shard(prints: np.ndarray, home: np.ndarray, tree: int, radius: int) ->
     at_home = at_home[np.argsort(far[at_home], kind="stable")]
     homes_far = far[at_home].astype(int)
     for distance in np.unique(far):
-        queries = np.flatnonzero(far == distance)
+        queries = np.flatnonzero(query & (far == distance))
         a = np.searchsorted(homes_far, int(distance) - radius // 2, "left")
         b = np.searchsorted(homes_far, int(distance) + radius // 2, "right")
         others = at_home[a:b]
@@ -193,18 +200,47 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         own = np.asarray(table.column("fingerprint"))
-        home = np.asarray(table.column("home"))
+        query, home = (np.asarray(table.column(name)) for name in ("query", "home"))
         links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         if not home.any() or len(own) < 2:
             return links.empty_table()
-        root = group_shard(own, home, table.column("tree")[0].as_py(), radius)
+        root = group_shard(own, query, home, table.column("tree")[0].as_py(), radius)
         moved = np.flatnonzero(root != np.arange(len(own)))
         return pa.table([pa.array(own[moved]), pa.array(own[root[moved]])], schema=links)
 
     routed = prints.select("fingerprint").mapInArrow(
         route, "tree int, leaf int, fingerprint long, home boolean"
     )
-    return routed.groupBy("tree", "leaf").applyInArrow(search, "a long, b long")
+    blocks = leaf_blocks(materialize(routed, "routed"), BLOCK_ROWS)
+    return blocks.groupBy("tree", "leaf", "block").applyInArrow(search, "a long, b long")
+
+
+def leaf_blocks(routed: DataFrame, most: int) -> DataFrame:
+    """`tree, leaf, block, fingerprint, query, home`: `routed` with full leaves in blocks.
+
+    A block is one of about `most` visitors against one of about `most` rows at home.
+    There are at most `2 * SAMPLE` leaves, so their counts may be broadcast; leaves
+    where nothing is at home go.
+    """
+    held = routed.groupBy("tree", "leaf").agg(
+        F.ceil(F.count("*") / most).alias("tall"), F.ceil(F.count_if("home") / most).alias("wide")
+    )
+    cut = (
+        routed.join(F.broadcast(held.where("wide > 0")), ["tree", "leaf"])
+        .withColumn("q", F.expr("pmod(xxhash64(fingerprint, 1), tall)"))
+        .withColumn("h", F.expr("pmod(xxhash64(fingerprint, 2), wide)"))
+    )
+    as_query = "transform(sequence(0L, wide - 1L), c -> q * wide + c)"
+    at_home = "transform(sequence(0L, tall - 1L), r -> r * wide + h)"
+    places = F.expr(f"if(home, array_union({as_query}, {at_home}), {as_query})")
+    return cut.withColumn("block", F.explode(places)).select(
+        "tree",
+        "leaf",
+        "block",
+        "fingerprint",
+        F.expr("block div wide = q").alias("query"),
+        F.expr("home and block % wide = h").alias("home"),
+    )
 
 
 def near_duplicates(
