@@ -3,7 +3,8 @@
 Proportional stratified interleaving: rows are shuffled by a seeded hash within each
 source and ranked; sorted by fractional rank, every stretch of the whole order holds
 each source in proportion, and equal cuts give the shards. Law `rows`: the counts of
-any two shards differ by one at most.
+any two shards differ by one at most. A source begins at a hashed phase between two
+ranks, so that sources of few rows, however many, spread over all shards and cells.
 
 Ranks never come from one task: hash and fractional rank are cut into cells of about
 `CELL_ROWS` rows, rows are numbered within a cell, and the cells' counts are summed.
@@ -75,8 +76,9 @@ def stratified_shards(
     ranked = _numbered(rows, ["key", "cell"], ["shuffled", *last], ["key"]).drop("cell")
 
     held = rows.groupBy("key").agg(F.count("*").alias("held"))
+    phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key"), 11) * F.lit(2.0**-53)
     ranked = ranked.join(held, "key").withColumn(
-        "fraction", (F.col("number") + F.lit(0.5)) / F.col("held")
+        "fraction", (F.col("number") + phase) / F.col("held")
     )
     ranked = ranked.drop("number").withColumn(
         "cell", F.expr(f"cast(fraction * {cells} as long)")
