@@ -10,6 +10,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from bindery.llm import (
@@ -220,8 +221,10 @@ def test_near_duplicates(docs, none):
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in rows}
 
 
-def test_trees_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("most", [vptrees.BLOCK_ROWS, 15])
+def test_trees_lose_no_link(spark, monkeypatch, most):
     monkeypatch.setattr(vptrees, "LEAF", 20)
+    monkeypatch.setattr(vptrees, "BLOCK_ROWS", most)
     random = np.random.default_rng(2)
     prints = random.integers(0, 2**64, 1500, dtype=np.uint64)
     near = prints[:400].copy()
@@ -392,3 +395,7 @@ def test_shards(spark, docs, none, monkeypatch):
         for shard in counts:
             assert abs(sum(r.source == source and r.shard == shard for r in placed) - total / 7) <= 2
     assert sharding.stratified_shards(none).collect() == []
+    single = big.withColumn("source", F.when(F.col("source") == "hot", "hot").otherwise(F.col("text")))
+    placed = sharding.stratified_shards(single, shards=7).collect()
+    hot = Counter(r.shard for r in placed if r.source == "hot")
+    assert all(abs(hot[shard] - 1000 / 7) < 40 for shard in range(7))
