@@ -75,6 +75,17 @@ def is_safe_path(path: Column) -> Column:
     return path.isNotNull() & ~path.rlike(UNSAFE_PATH_PATTERN)
 
 
+def names_file(path: Column) -> Column:
+    """False for a path that can only be a folder: its last component is empty or a dot."""
+    return path.isNotNull() & ~path.rlike(r"(^|/)\.?\z")
+
+
+def tidy_path(path: Column) -> Column:
+    """A relative path without empty and `.` components."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    return F.array_join(parts, "/")
+
+
 def relative_path(path: Column, prefix: str) -> Column:
     """Drop a leading prefix where present."""
     if not prefix:

@@ -93,3 +93,11 @@ HEADER_PATH_SQL = """case doc_id % 8
   when 4 then repeat(' ', cast(doc_id % 3 as int))
   when 5 then concat(source, '/..', doc_id)
   else concat(source, '/', lang, '/', doc_id, '.txt') end"""
+
+# Odd ways to write a path, by the identifier.
+EXTRACT_PATH_SQL = (
+    "case doc_id % 8 when 0 then concat('d', doc_id) when 1 then concat('d', doc_id - 1, '/x') "
+    "when 2 then concat('../', doc_id) when 3 then concat('e', doc_id, '/') "
+    "when 4 then concat('f//', doc_id) when 5 then concat('f/./', doc_id - 1) "
+    "when 6 then '.' else concat('g', doc_id) end"
+)

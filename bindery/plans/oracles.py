@@ -351,6 +351,16 @@ select page_id, url,
     then string_split(string_split(url, ':')[2], '/')[-1]
     else string_split(url, '/')[-1] end, '(\\.git)+$', '') as repo
 from u""",
+    "extract_odd_paths": """with d as (select doc_id, doc_id % 8 as k from documents)
+select concat('d', doc_id) as path,
+  case when doc_id + 1 in (select doc_id from d) then 'CONFLICT' else 'WRITTEN' end as status
+from d where k = 0
+union all select concat('d', doc_id - 1, '/x'), 'WRITTEN' from d where k = 1
+union all select concat('../', doc_id), 'UNSAFE' from d where k = 2
+union all select concat('e', doc_id, '/'), 'UNSAFE' from d where k = 3
+union all select distinct concat('f/', doc_id - k + 4), 'WRITTEN' from d where k in (4, 5)
+union all select '.', 'UNSAFE' from d where k = 6
+union all select concat('g', doc_id), 'WRITTEN' from d where k = 7""",
     "safe_path": f"""with h as (select doc_id as seq, {HEADER_PATH_SQL} as path from documents)
 select seq, path, not regexp_matches(path, '{_UNSAFE}') as safe from h""",
     "relative_path": f"""with h as (select doc_id as seq, {HEADER_PATH_SQL} as path from documents)

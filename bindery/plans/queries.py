@@ -10,13 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery import stores
 from bindery.config import PackConfig
 from bindery.functions import frames, globs, integrity, paths, text
 from bindery.operators import admission, catalog, packing, prefix, report, unpacking
 from bindery.operators import integrity as checks
 from bindery.scratch import scratch_path
 from bindery.sinks.bundles import write_bundles, write_manifest, write_table
-from bindery.sinks.files import extract_files, split_safe
+from bindery.sinks.files import extract_files, extract_status, split_safe
 from bindery.sources.bundles import read_bundles
 from bindery.sources.content import read_binary_files, read_content
 from bindery.sources.tables import files_from_table
@@ -25,7 +26,7 @@ from bindery.plans.corpus import (
     BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, HEADER_PATH_SQL, HMAC_KEY, NAME_PATTERNS,
     PATH_SQL, RAW_SQL, REPO_TEXT_SQL, SIZE_LIMIT, SKIP_PATTERNS, SMALL_BUDGET, TYPES,
     TYPES_TEXT_SQL, HEADER_TEXT_SQL, LETTER_ENDED_SQL, KEY_TEXT_SQL, ADMIT_MAX, ADMIT_NAME,
-    LABEL_GLOB_SQL, ODD_PATH_SQL, SPARSE_SQL, NO_CONTENT_SQL, NO_PATH_SQL,
+    EXTRACT_PATH_SQL, LABEL_GLOB_SQL, ODD_PATH_SQL, SPARSE_SQL, NO_CONTENT_SQL, NO_PATH_SQL,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,7 +119,7 @@ def _extracted_tree(spark, sf_dir) -> str:
     """The corpus as real files in the shared folder."""
     out = scratch_path(spark, "tree")
     extract_files(corpus(spark, sf_dir).select("bundle", "seq", "path", "content"), out)
-    return out
+    return stores.local_path(out)
 
 
 @query
@@ -646,6 +647,20 @@ def path_quarantine(spark, sf_dir):
     return unsafe.select("seq", "path")
 
 
+@query
+def extract_odd_paths(spark, sf_dir):
+    """What becomes of each path: files beside folders of their name, two spellings of a
+    path, folders and paths that leave the tree."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.lit("").alias("bundle"),
+        F.expr(EXTRACT_PATH_SQL).alias("path"),
+        F.col("doc_id").alias("seq"),
+        F.coalesce("text", F.lit("")).alias("content"),
+    )
+    return extract_status(rows, scratch_path(spark, "odd")).select("path", "status")
+
+
 @query
 def digest_text(spark, sf_dir):
     """Digests in the base64 form of headers, and whether they read back."""

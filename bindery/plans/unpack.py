@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.functions import paths
 from bindery.operators import integrity, unpacking
 from bindery.sinks.files import extract_files
 from bindery.sources.bundles import read_bundles
@@ -22,13 +23,15 @@ def unpack_bundles(
     foldered: bool = True,
     bundle: str | None = None,
     flat: bool = True,
+    report: str | None = None,
 ) -> int:
     """Extract bundle files into `out`; returns the number of files written.
 
     `foldered` is false for plain bundle files outside `write_bundles` folders, whose
     bundle is then called `bundle`, or after the file. `flat` writes the files of all
     bundles into one folder and raises if two bundles have the same path; otherwise
-    each bundle gets a folder.
+    each bundle gets a folder. `report` names a folder for a table of what became of
+    each path.
 
     Only the last frame of a path counts, also for the checks. `signed` checks it
     against its header, `manifest` against a manifest table; both run before the first
@@ -41,7 +44,9 @@ def unpack_bundles(
         unpacking.text_frames(unpacking.require_files(frames)), "pos"
     )
     if flat:
-        shared = unpacked.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
+        target = paths.tidy_path(paths.relative_path(F.col("path"), prefix))
+        targets = unpacked.select("bundle", target.alias("path")).distinct()
+        shared = targets.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").first()
         if shared:
             raise ValueError(f"several bundles hold {shared.path}; extract with flat=False")
     if signed:
@@ -59,4 +64,4 @@ def unpack_bundles(
     restored = unpacking.restore(unpacked)
     if flat:
         restored = restored.withColumn("bundle", F.lit(""))
-    return extract_files(restored, out, order="pos", prefix=prefix)
+    return extract_files(restored, out, order="pos", prefix=prefix, report=report)

@@ -8,44 +8,108 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery import stores
 from bindery.functions import paths
 from bindery.operators.unpacking import last_wins
+from bindery.scratch import materialize
+
+# What became of a path.
+WRITTEN, UNSAFE, CONFLICT, FAILED = "WRITTEN", "UNSAFE", "CONFLICT", "FAILED"
 
 
 def split_safe(rows: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """(rows whose path stays under the output folder, the quarantined rest)."""
     relative = rows.withColumn("path", paths.relative_path(F.col("path"), prefix))
-    safe = paths.is_safe_path(F.col("path"))
+    safe = paths.is_safe_path(F.col("path")) & paths.names_file(F.col("path"))
     return relative.filter(safe), relative.filter(~safe)
 
 
-def extract_files(rows: DataFrame, out: str, order: str = "seq", prefix: str = "") -> int:
-    """Write `bundle, path, content` rows under `out`; returns how many.
+def _folder_clashes(kept: DataFrame) -> DataFrame:
+    """`bundle, path` of the files whose path is a folder of another file. Moves keys only."""
+    keys = kept.select("bundle", "path")
+    parts = F.split("path", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
+    folders = keys.filter(F.contains("path", F.lit("/"))).select("bundle", F.explode(above).alias("path"))
+    return keys.join(folders.distinct(), ["bundle", "path"], "left_semi")
 
-    Only safe paths are written, the last of each path. Tasks write to a
-    temporary name and rename, so a retried or doubled task leaves whole files.
-    Paths of several bundles are kept apart by a folder per bundle.
-    """
-    safe, _ = split_safe(rows, prefix)
-    kept = last_wins(safe.select("bundle", "path", order, "content"), order)
-    base = out.rstrip("/")
 
+def _writer(out: str):
     def write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        import posixpath
         import uuid
         from urllib.parse import quote
 
+        store, base = stores.open_store(out)
+        local = store.type_name == "local"
+
+        def write(folder: str, path: str, content: bytes) -> None:
+            target = f"{folder}/{path}"
+            parent = posixpath.dirname(target)
+            store.create_dir(parent, recursive=True)
+            # An object store shows an object only when it is whole.
+            place = f"{parent}/.{uuid.uuid4().hex}.tmp" if local else target
+            try:
+                with store.open_output_stream(place) as sink:
+                    sink.write(content)
+                if local:
+                    store.move(place, target)
+            except OSError:
+                if local and store.get_file_info(place).is_file:
+                    store.delete_file(place)
+                raise
+
         for batch in batches:
+            status = []
             for row in batch.itertuples():
-                folder = os.path.join(base, quote(row.bundle, safe="")) if row.bundle else base
-                target = os.path.join(folder, row.path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                temporary = f"{target}.{uuid.uuid4().hex}.tmp"
-                with open(temporary, "wb") as sink:
-                    sink.write(row.content)
-                os.replace(temporary, target)
-            yield pd.DataFrame({"written": [len(batch)]})
+                name = quote(row.bundle, safe="")
+                if not name.strip("."):
+                    name = name.replace(".", "%2E")  # no folder may be `.` or `..`
+                try:
+                    if row.content is None:
+                        raise ValueError("no content")
+                    write(f"{base}/{name}" if name else base, row.path, row.content)
+                    status.append("WRITTEN")
+                except (OSError, ValueError):
+                    status.append("FAILED")
+            yield batch[["bundle", "path"]].assign(status=status)
+
+    return write_files
 
+
+def extract_status(rows: DataFrame, out: str, order: str = "seq", prefix: str = "") -> DataFrame:
+    """Write `bundle, path, content` rows under `out`; `bundle, path, status` of each path.
+
+    Only safe paths are written, the last of each path by `order`; `d//p` and `d/./p`
+    are `d/p`. `UNSAFE` paths would leave the folder or name no file, one row for each
+    row given. A file whose path is a folder of another file is a `CONFLICT` and the
+    other is written. `FAILED` could not be written, such as one without content; the
+    rest goes on. Files are written aside and renamed, so a retried or doubled task
+    leaves whole files; object stores show whole objects only. Each bundle that has a
+    name gets a folder. `out` is a path that all executors share, or a URI that pyarrow
+    can open; others raise `ValueError`.
+    """
+    stores.open_store(out)
+    named = rows.withColumn("bundle", F.coalesce("bundle", F.lit("")))
+    safe, unsafe = split_safe(named, prefix)
+    tidy = safe.withColumn("path", paths.tidy_path(F.col("path")))
+    kept = last_wins(tidy.select("bundle", "path", order, "content"), order)
+    clashes = materialize(_folder_clashes(tidy), "clashes").distinct()
     content = F.col("content").cast("binary").alias("content")
-    written = kept.select("bundle", "path", content).mapInPandas(write_files, "written long")
-    return written.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+    written = kept.join(clashes, ["bundle", "path"], "left_anti").select("bundle", "path", content)
+    written = written.mapInPandas(_writer(out), "bundle string, path string, status string")
+    written = materialize(written, "extracted")  # tasks with effects run once
+    return written.unionByName(clashes.withColumn("status", F.lit(CONFLICT))).unionByName(
+        unsafe.select("bundle", "path", F.lit(UNSAFE).alias("status"))
+    )
+
+
+def extract_files(
+    rows: DataFrame, out: str, order: str = "seq", prefix: str = "", report: str | None = None
+) -> int:
+    """`extract_status`, written as a table under `report` if given; returns the files written."""
+    status = extract_status(rows, out, order, prefix)
+    if report:
+        status.write.mode("overwrite").parquet(report)
+    return status.filter(F.col("status") == WRITTEN).count()

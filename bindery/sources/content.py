@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from bindery import stores
 from bindery.operators.catalog import with_path_parts
 from bindery.sizing import tasks_for_bytes
 
@@ -40,11 +41,12 @@ def read_content(catalog: DataFrame) -> DataFrame:
 
         for batch in batches:
             start, contents, held = 0, [], 0
-            for path in batch["path"]:
+            raws = batch["raw"] if "raw" in batch else [None] * len(batch)
+            for path, raw in zip(batch["path"], raws):
                 try:
-                    with open(path, "rb") as source:
+                    with open(stores.local_path(path) if raw is None else raw, "rb") as source:
                         contents.append(source.read())
-                except OSError:
+                except (OSError, ValueError):
                     contents.append(None)
                 held += len(contents[-1] or b"")
                 if held >= limit:

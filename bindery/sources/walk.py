@@ -2,7 +2,9 @@
 
 Spark's own file sources leave out names that begin with `.` or `_` and files
 without bytes, so listing is done by tasks over a DataFrame of directories.
-Paths are local or on a mount that all executors share.
+Paths are local or on a mount that all executors share, or `file:` URIs of such;
+other schemes raise `ValueError`. A path that is not UTF-8 is shown with replacement
+characters, and its bytes are in `raw`, which is null otherwise.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery import stores
 from bindery.operators.catalog import assign_seq, with_path_parts
 from bindery.scratch import materialize
 from bindery.sizing import task_count
 
 _LISTING = (
     "arg int, path string, kind string, size long, mtime double, hidden_tree boolean, "
-    "real string, trail array<string>"
+    "real binary, trail array<binary>, raw binary"
 )
-CATALOG_COLUMNS = ["arg", "path", "base_name", "ext", "size", "mtime", "hidden_tree"]
+_COLUMNS = ["arg", "path", "kind", "size", "mtime", "hidden_tree", "real", "trail", "raw"]
+CATALOG_COLUMNS = ["arg", "path", "base_name", "ext", "size", "mtime", "hidden_tree", "raw"]
 _BATCH_ROWS = 10_000
 
 
@@ -35,41 +39,51 @@ def _lister(include_hidden: bool, exclude: tuple[str, ...], on_error: str, batch
     def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
-        columns = ["arg", "path", "kind", "size", "mtime", "hidden_tree", "real", "trail"]
+        outside = [os.fsencode(e) for e in exclude]
+
+        def shown(raw):
+            """A path as text, and its bytes where the text is not the same."""
+            text = raw.decode("utf-8", "replace")
+            return text, None if text.encode("utf-8") == raw else raw
 
         def entries(row):
+            given = row.raw if row.raw is not None else os.fsencode(row.path)
             try:
-                found = os.scandir(row.path)
+                found = os.scandir(given)
             except OSError:
                 if on_error == "raise":
                     raise
-                yield (row.arg, row.path, "unreadable", None, None, row.hidden_tree, None, None)
+                yield (row.arg, row.path, "unreadable", None, None, row.hidden_tree, None, None, row.raw)
                 return
             with found:
                 for entry in found:
-                    hidden = entry.name.startswith(".")
+                    hidden = entry.name.startswith(b".")
                     if hidden and not include_hidden:
                         continue
                     real = os.path.realpath(entry.path)
-                    if any(real == e or real.startswith(e + "/") for e in exclude):
+                    if any(real == e or real.startswith(e + b"/") for e in outside):
                         continue
                     in_hidden = bool(row.hidden_tree or hidden)
+                    path, raw = shown(entry.path)
                     if entry.is_dir():
                         trail = list(row.trail)
                         if entry.is_symlink():
                             trail.append(row.real)
-                            if any((t + "/").startswith(real.rstrip("/") + "/") for t in trail):
+                            if any((t + b"/").startswith(real.rstrip(b"/") + b"/") for t in trail):
                                 continue  # a link back to a directory above
-                        yield (row.arg, entry.path, "dir", None, None, in_hidden, real, trail)
+                        yield (row.arg, path, "dir", None, None, in_hidden, real, trail, raw)
                     elif entry.is_file():
-                        stat = entry.stat()
+                        try:
+                            stat = entry.stat()
+                        except FileNotFoundError:
+                            continue  # gone since it was listed
                         yield (
-                            row.arg, entry.path, "file", stat.st_size, stat.st_mtime,
-                            in_hidden, real, None,
+                            row.arg, path, "file", stat.st_size, stat.st_mtime,
+                            in_hidden, real, None, raw,
                         )
 
         def frame(rows):
-            out = pd.DataFrame(rows, columns=columns)
+            out = pd.DataFrame(rows, columns=_COLUMNS)
             return out.astype({"size": "Int64"})
 
         pending = []
@@ -93,19 +107,18 @@ def _stater():
         for batch in batches:
             rows = []
             for row in batch.itertuples():
-                path = row.path
+                path = stores.local_path(row.path)
                 kind = (
                     "dir" if os.path.isdir(path) else "file" if os.path.isfile(path) else "missing"
                 )
                 stat = os.stat(path) if kind == "file" else None
                 rows.append(
                     (
-                        row.arg, path, kind, stat and stat.st_size, stat and stat.st_mtime, False,
-                        os.path.realpath(path), [],
+                        row.arg, row.path, kind, stat and stat.st_size, stat and stat.st_mtime, False,
+                        os.fsencode(os.path.realpath(path)), [], None,
                     )
                 )
-            columns = ["arg", "path", "kind", "size", "mtime", "hidden_tree", "real", "trail"]
-            yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+            yield pd.DataFrame(rows, columns=_COLUMNS).astype({"size": "Int64"})
 
     return stat_paths
 
@@ -172,11 +185,12 @@ def catalog_walk(
     """
     import os
 
+    roots = [stores.local_path(root) for root in roots]
     stated = materialize(_arguments(spark, roots).mapInPandas(_stater(), _LISTING), "args")
     files = stated.filter(F.col("kind") == "file")
     directories = stated.filter(F.col("kind") == "dir")
     if recursive and not directories.isEmpty():
-        hidden_out = [os.path.realpath(e) for e in exclude]
+        hidden_out = [os.path.realpath(stores.local_path(e)) for e in exclude]
         files = files.unionByName(_walk(directories, include_hidden, hidden_out, on_error))
     return with_path_parts(files).select(*CATALOG_COLUMNS)
 
@@ -196,9 +210,10 @@ def catalog_manifest(
     directories stay too: the list decides.
     """
     named = tracked.select(
-        F.lit(0).alias("arg"), F.concat(F.lit(root.rstrip("/") + "/"), F.col("path")).alias("path")
+        F.lit(0).alias("arg"), F.concat(F.lit(stores.local_path(root).rstrip("/") + "/"), F.col("path")).alias("path")
     )
     present = materialize(catalog_paths(spark, named).filter("is_file"), "manifest")
-    with_parts = with_path_parts(present.withColumn("hidden_tree", F.lit(False)))
+    present = present.withColumn("hidden_tree", F.lit(False)).withColumn("raw", F.lit(None).cast("binary"))
+    with_parts = with_path_parts(present)
     ordered = assign_seq(with_parts.select(*CATALOG_COLUMNS), "arg", "path")
     return ordered.withColumn("bundle", F.lit(bundle))

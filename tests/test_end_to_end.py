@@ -10,9 +10,9 @@ from bindery import PackConfig
 from bindery.operators.integrity import VerificationError
 from bindery.plans.pack import NoInputError, pack_files, pack_manifest, pack_paths
 from bindery.plans.unpack import unpack_bundles
-from bindery.sinks.files import extract_files, split_safe
+from bindery.sinks.files import extract_files, extract_status, split_safe
 from bindery.sources.content import read_binary_files, read_content
-from bindery.sources.walk import catalog, catalog_paths, catalog_walk
+from bindery.sources.walk import _LISTING, _walk, catalog, catalog_paths, catalog_walk
 from bindery.streaming.pack import pack_stream
 
 
@@ -225,11 +225,9 @@ def test_explicit_paths(spark, tmp_path):
 def test_unreadable_directory(spark, tmp_path):
     root = build(tmp_path / "t", {"a/f": "1"})
     gone = spark.createDataFrame(
-        [(0, f"{root}/a", "dir", None, None, False, f"{root}/a", []),
-         (0, f"{root}/missing", "dir", None, None, False, f"{root}/missing", [])],
-        "arg int, path string, kind string, size long, mtime double, hidden_tree boolean, "
-        "real string, trail array<string>")
-    from bindery.sources.walk import _walk
+        [(0, f"{root}/a", "dir", None, None, False, os.fsencode(f"{root}/a"), [], None),
+         (0, f"{root}/missing", "dir", None, None, False, os.fsencode(f"{root}/missing"), [], None)],
+        _LISTING)
 
     assert _walk(gone, False, [], "skip").count() == 1
     with pytest.raises(Exception, match="missing"):
@@ -256,6 +254,38 @@ def test_extract_is_last_wins_and_safe(spark, tmp_path):
     assert (safe.count(), unsafe.count()) == (3, 2)
 
 
+def test_extraction_goes_on_after_odd_paths(spark, tmp_path):
+    rows = [("..", "a", 1, "in"), ("", "x//y", 2, "old"), ("", "./x/./y", 3, "new"), ("", "x", 4, "f"),
+            ("", "d/", 5, "n"), ("", ".", 6, "n"), ("", "n" * 250, 7, "long"), ("", "m" * 300, 8, "n"),
+            ("", "none", 9, None), (None, "null", 10, "kept"), ("", None, 11, "n")]
+    df = spark.createDataFrame(rows, "bundle string, path string, seq long, content string")
+    out = tmp_path / "one two"
+    found = extract_status(df, f"file://{tmp_path}/one%20two").collect()
+    assert sorted((r.path or "", r.status) for r in found) == sorted([
+        ("a", "WRITTEN"), ("x/y", "WRITTEN"), ("x", "CONFLICT"), ("d/", "UNSAFE"), (".", "UNSAFE"),
+        ("n" * 250, "WRITTEN"), ("m" * 300, "FAILED"), ("none", "FAILED"), ("null", "WRITTEN"), ("", "UNSAFE"),
+    ])
+    texts = {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file()}
+    assert texts == {"%2E%2E/a": "in", "x/y": "new", "n" * 250: "long", "null": "kept"}
+    for bad in ("nosuch://host/out", "viewfs://x/out"):
+        with pytest.raises(ValueError):
+            extract_files(df, bad)
+
+
+def test_walk_of_uris_and_of_names_that_are_not_utf8(spark, tmp_path):
+    root = build(tmp_path / "t u", {"a": "1"})
+    folder = os.fsencode(root) + b"/d\xff"
+    os.mkdir(folder)
+    with open(folder + b"/\xfe.c", "wb") as sink:
+        sink.write(b"odd")
+    rows = read_content(catalog_walk(spark, [f"file://{tmp_path}/t%20u"])).collect()
+    assert {(os.path.relpath(r.path, root), bytes(r.content), r.ext) for r in rows} == {
+        ("a", b"1", ""), ("d\ufffd/\ufffd.c", b"odd", ".c")
+    }
+    with pytest.raises(ValueError, match="local"):
+        catalog_walk(spark, ["s3a://bucket/x"])
+
+
 def test_stream_packs_each_batch(spark, tmp_path, make_files):
     source = str(tmp_path / "in")
     rows = [("b", f"p{i}", f"text {i}".encode()) for i in range(6)]
