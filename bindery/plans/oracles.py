@@ -351,6 +351,13 @@ select page_id, url,
     then string_split(string_split(url, ':')[2], '/')[-1]
     else string_split(url, '/')[-1] end, '(\\.git)+$', '') as repo
 from u""",
+    "extract_two_bundles": """select
+  case when doc_id % 2 = 0 then 'even' else 'odd' end || '/p' || (doc_id // 2) as path,
+  sha256(coalesce(text, '')) as sha from documents""",
+    "last_then_verify": f"""with {FILES}, {SIGNED}, {UNPACKED}, {TAMPERED},
+placed as (select *, regexp_extract(path, 'doc_(\\d+)', 1)::bigint as n from tampered)
+select bundle, 'p' || (n % 50) as path, {_SIGNATURE_STATUS} as status from placed
+qualify row_number() over (partition by bundle, n % 50 order by n desc) = 1""",
     "extract_odd_paths": """with d as (select doc_id, doc_id % 8 as k from documents)
 select concat('d', doc_id) as path,
   case when doc_id + 1 in (select doc_id from d) then 'CONFLICT' else 'WRITTEN' end as status

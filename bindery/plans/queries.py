@@ -122,6 +122,24 @@ def _extracted_tree(spark, sf_dir) -> str:
     return stores.local_path(out)
 
 
+@query
+def extract_two_bundles(spark, sf_dir):
+    """Two bundles that hold the same paths, extracted side by side and read again."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.expr("if(doc_id % 2 = 0, 'even', 'odd')").alias("bundle"),
+        F.expr("concat('p', doc_id div 2)").alias("path"),
+        F.col("doc_id").alias("seq"),
+        F.coalesce("text", F.lit("")).alias("content"),
+    )
+    out = scratch_path(spark, "bundles-apart")
+    extract_files(rows, out)
+    out = stores.local_path(out)
+    read = read_content(catalog_walk(spark, [out]))
+    relative = paths.relative_path(F.col("path"), out + "/")
+    return read.select(relative.alias("path"), sha("content"))
+
+
 @query
 def walk_files(spark, sf_dir):
     """Corpus written as files, walked with hidden entries pruned, and read."""
@@ -607,6 +625,16 @@ def quarantined_frames(spark, sf_dir):
     return bad.select("bundle", "path", "status")
 
 
+@query
+def last_then_verify(spark, sf_dir):
+    """The signature of the last frame of each path, where most paths repeat."""
+    packed = packing.pack(corpus(spark, sf_dir), signed=True, key=HMAC_KEY)
+    frames_ = unpacking.text_frames(_tampered(unpacking.unpack(packed)))
+    repeated = frames_.withColumn("path", F.concat(F.lit("p"), _doc_number() % 50))
+    checked = checks.verify_signatures(unpacking.last_wins(repeated), HMAC_KEY)
+    return checked.select("bundle", "path", "status")
+
+
 # Addresses, paths, reports
 
 
