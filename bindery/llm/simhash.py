@@ -5,13 +5,17 @@ rarer, weighs more. Two 64-bit hashes of a term vote with its weight on 128 sign
 bits. The votes of a document are 64 sums: bits j and j + 32 of a hash are counted in
 the two halves of one long, so each sum serves two bits.
 
-Fingerprints within a Hamming radius are found by permuted block tables: of
-`radius + 1` blocks one must be equal, so each block in turn is put in front as the
-key of a join, and the whole fingerprints of the rows that meet are compared.
+Fingerprints within a Hamming radius are found by permuted block tables. The bits are
+cut into words, and each word is allowed so many differing bits that a pair within the
+radius keeps to it in one word at least. Each word in turn is put in front as the key of
+a join; a query asks for its word with every choice of up to the allowed bits flipped,
+and the whole fingerprints of the rows that meet are compared.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +23,10 @@ from bindery.llm.common import BLANKS, hex_sha256, shuffle_width
 from bindery.scratch import materialize
 
 BITS = 128
-RADIUS = 3
+#: Near copies are 12 of the 128 bits apart on average.
+RADIUS = 16
+#: Words of the block tables: 21 or 22 bits each, so that keys stay selective.
+WORDS = 6
 #: Weight of a term: 1 and one more for each so many characters, 4 at most.
 WEIGHT_CHARS = 6
 _LANES = [(word, j) for word in ("a", "b") for j in range(32)]
@@ -78,38 +85,85 @@ def as_hex(high: str, low: str) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (high, low))))
 
 
+def _words(radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bit after the last, differing bits allowed) of each word that is searched."""
+    cuts = [BITS * i // WORDS for i in range(WORDS + 1)]
+    least, more = divmod(radius + 1, WORDS)
+    allowed = [least - (i >= more) for i in range(WORDS)]
+    return [w for w in zip(cuts, cuts[1:], allowed) if w[2] >= 0]
+
+
+def _word(start: int, stop: int, high: str = "high", low: str = "low") -> str:
+    """SQL of the bits from `start` to `stop` of a fingerprint, as a long."""
+    parts, place = [], 0
+    for name, first in ((high, 0), (low, 64)):
+        a, b = max(start, first) - first, min(stop, first + 64) - first
+        if a < b:
+            parts.append(f"shiftleft(shiftrightunsigned({name}, {a}) & {(1 << (b - a)) - 1}L, {place})")
+            place += b - a
+    return f"({' | '.join(parts)})"
+
+
+def _meetings(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """Each pair of rows within `radius` once, equal fingerprints too, with `distance`.
+
+    `queries` has distinct `high, low`; `prints` distinct `other_high, other_low` and
+    whatever else is to stay.
+    """
+    words = _words(radius)
+    masks = [
+        (i, sum(1 << bit for bit in bits))
+        for i, (start, stop, most) in enumerate(words)
+        for n in range(most + 1)
+        for bits in combinations(range(stop - start), n)
+    ]
+    masks = queries.sparkSession.createDataFrame(masks, "block int, mask long")
+    whole = F.expr(f"array({', '.join(_word(a, b) for a, b, _ in words)})")
+    asked = queries.select("high", "low", whole.alias("words")).crossJoin(F.broadcast(masks))
+    asked = asked.select("high", "low", "block", F.expr("words[block] ^ mask").alias("key"))
+    tables = ", ".join(
+        f"struct({i} as block, {_word(a, b, 'other_high', 'other_low')} as key)" for i, (a, b, _) in enumerate(words)
+    )
+    held = prints.select("*", F.inline(F.expr(f"array({tables})")))
+    # The first word near enough is the one that counts.
+    earlier = " and ".join(
+        f"(block <= {i} or bit_count({_word(a, b)} ^ {_word(a, b, 'other_high', 'other_low')}) > {most})"
+        for i, (a, b, most) in enumerate(words)
+    )
+    distance = F.expr("bit_count(high ^ other_high) + bit_count(low ^ other_low)")
+    return (
+        asked.join(held, ["block", "key"])
+        .where((distance <= radius) & F.expr(earlier))
+        .withColumn("distance", distance)
+        .drop("block", "key")
+    )
+
+
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`high, low, other_high, other_low, distance` of different fingerprints within `radius`.
 
     Both tables have `high, low`. Equal fingerprints are one, so copies are not paired;
     join on the fingerprint for the rows that have it.
     """
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-
-    def front(i: int) -> Column:
-        start, stop = cuts[i], cuts[i + 1]
-        parts = []
-        for name, first in (("high", 0), ("low", 64)):
-            a, b = max(start, first) - first, min(stop, first + 64) - first
-            if a < b:
-                mask = (1 << (b - a)) - 1
-                parts.append(F.expr(f"shiftrightunsigned({name}, {a})").bitwiseAND(F.lit(mask if mask < 2**63 else -1)))
-        return F.xxhash64(F.lit(i), *parts)
-
-    def tables(rows: DataFrame) -> DataFrame:
-        blocks = F.array(*(F.struct(F.lit(i).alias("block"), front(i).alias("key")) for i in range(radius + 1)))
-        return rows.select("high", "low", F.inline(blocks))
-
-    distinct = queries.select("high", "low").distinct()
-    others = prints.select("high", "low").distinct()
-    others = tables(others).withColumnsRenamed({"high": "other_high", "low": "other_low"})
-    distance = F.expr("bit_count(high ^ other_high) + bit_count(low ^ other_low)")
-    return (
-        tables(distinct)
-        .join(others, ["block", "key"])
-        .select("high", "low", "other_high", "other_low", distance.alias("distance"))
-        .where(F.col("distance").between(1, radius))
-        .distinct()
+    others = prints.select(F.col("high").alias("other_high"), F.col("low").alias("other_low")).distinct()
+    found = _meetings(queries.select("high", "low").distinct(), others, radius).where("distance > 0")
+    return found.select("high", "low", "other_high", "other_low", "distance")
+
+
+def documents_within(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """`high, low, within, found` for every fingerprint of `queries`.
+
+    `rows` has `doc_id, high, low`. `within` has a class for each fingerprint of `rows`
+    within `radius`, the equal one included: its `distance`, its least `doc_id` and the
+    number of its `rows`, sorted. `found` counts the rows of all classes.
+    """
+    classes = rows.groupBy(F.col("high").alias("other_high"), F.col("low").alias("other_low")).agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")
+    )
+    found = _meetings(queries.select("high", "low").distinct(), classes, radius)
+    return found.groupBy("high", "low").agg(
+        F.sort_array(F.collect_list(F.struct("distance", "doc_id", "rows"))).alias("within"),
+        F.sum("rows").alias("found"),
     )
 
 
@@ -171,10 +225,12 @@ def edited_fingerprints(
     """A row for each row of `docs`: its fingerprint, and that of the text half replaced.
 
     `doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_within`. The edited text has its last half replaced by as many first
-    characters of the next document, by descending identifier. `n_within` counts the
-    other fingerprints within `radius` for rows whose identifier is divisible by 20, and
-    is null for the rest. A null text is empty; a text without words has fingerprint 0.
+    near_next, n_within, within`. The edited text has its last half replaced by as many
+    first characters of the next document, by descending identifier. `n_within` counts
+    the other rows within `radius` for rows whose identifier is divisible by 20, rows of
+    an equal fingerprint included; `within` names them by classes, see
+    `documents_within`, where the row's own class has distance 0 and counts the row
+    itself. Both are null for the rest. A null text is empty; a text without words has fingerprint 0.
     Null identifiers come last in descending order; repeated rows are each other's next.
     Other columns are not read; an empty table gives no rows.
     """
@@ -214,8 +270,9 @@ def edited_fingerprints(
     prints = materialize(prints, "fingerprints")
 
     queries = prints.where("doc_id % 20 = 0")
-    counts = within_radius(queries, prints, radius).groupBy("high", "low").agg(F.count("*").alias("found"))
-    return prints.join(materialize(counts, "within"), ["high", "low"], "left").select(
+    found = materialize(documents_within(queries, prints, radius), "within")
+    asked = F.expr("doc_id % 20 = 0")
+    return prints.join(found, ["high", "low"], "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -223,5 +280,6 @@ def edited_fingerprints(
         as_hex("edited_high", "edited_low").alias("edited_fingerprint"),
         likeness("high", "low", "edited_high", "edited_low").alias("near_edited"),
         likeness("high", "low", "next_high", "next_low").alias("near_next"),
-        F.when(F.expr("doc_id % 20 = 0"), F.coalesce("found", F.lit(0).cast("long"))).alias("n_within"),
+        F.when(asked, F.col("found") - 1).alias("n_within"),
+        F.when(asked, F.col("within")).alias("within"),
     )

@@ -194,6 +194,37 @@ def test_block_tables_find_all(spark, radius):
     assert found == {(*a, *b, count(a, b)) for a in unique for b in unique if 0 < count(a, b) <= radius}
 
 
+def test_radius_search_names_all_rows(spark):
+    random = np.random.default_rng(8)
+    base = [f"w{i}{'x' * int(random.integers(0, 9))}" for i in range(300)]
+    rows = [(i, "one text many times") for i in range(40, 90)] + [(None, "one text many times")]
+    for i in range(100, 145):
+        body = list(base)
+        for _ in range(i % 9):
+            body[random.integers(0, 300)] = f"new{i}"
+        rows += [(i, " ".join(body)), (i + 100, " ".join(body))]
+    rows += [(i, f"alone {i} {i * i}") for i in range(300, 330)]
+    got = simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    prints = [(r.doc_id, int(r.fingerprint, 16)) for r in got]
+    near = 0
+    for r in got:
+        if r.doc_id is None or r.doc_id % 20:
+            assert r.within is None
+            continue
+        own, classes = int(r.fingerprint, 16), {}
+        for doc, other in prints:
+            if (own ^ other).bit_count() <= 16:
+                classes.setdefault(other, []).append(doc)
+        expected = sorted(
+            ((own ^ p).bit_count(), min(d for d in ids if d is not None), len(ids)) for p, ids in classes.items()
+        )
+        assert [tuple(c) for c in r.within] == expected
+        assert r.n_within == sum(len(ids) for ids in classes.values()) - 1
+        near += len(classes) > 1
+    assert near >= 3
+    assert next(r.n_within for r in got if r.doc_id == 60) == 50
+
+
 def slow_fingerprint(text):
     words = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
