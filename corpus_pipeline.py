@@ -31,7 +31,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest identifier of each group of near duplicates."""
+    """Keep the smallest identifier of each group of near duplicates.
+
+    Near means at most 3 of 64 bits of the three-word SimHash, as in `op5_simhash_dedup`.
+    That finds close copies only: most pairs that share 0.8 of their five-word shingles
+    are farther apart and both stay; the README gives the measured recall.
+    """
     return vptrees.keep_first(docs)
 
 

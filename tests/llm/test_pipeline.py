@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from bindery.llm import registry
+from bindery.llm import registry, vptrees
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 if not os.path.isdir(SF_DIR):
@@ -49,3 +49,19 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_near_dedup_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    prints = {r.doc_id: vptrees.fingerprint(r.text) for r in docs.collect()}
+    group = {d: {d} for d in prints}
+    for a, x in prints.items():
+        for b, y in prints.items():
+            if (x ^ y).bit_count() <= 3 and group[a] is not group[b]:
+                group[a] |= group[b]
+                for d in group[b]:
+                    group[d] = group[a]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    kept = [r.doc_id for r in stage(spark, docs, SF_DIR).collect()]
+    assert sorted(kept) == sorted({min(g) for g in group.values()})
+    assert len(kept) < len(prints)
