@@ -210,14 +210,17 @@ def drop_repeated_lines(
     """`docs` with `text` without the lines that an earlier line covers.
 
     Lines end at line feeds and are compared without outer blanks; blank ones stay. A
-    line goes if an earlier line, kept or not, is equal or, where it has `near_chars`
+    line goes if an earlier line, kept or not, is equal or, where both have `near_chars`
     or more characters and `max_edits` is 1, differs by one inserted, deleted or
     replaced character. Earlier means a smaller identifier, then a smaller number of
     the line; a null identifier comes last. Rows that repeat an identifier and its
     text are treated alike and cover only what comes after them. Null and empty texts
     stay as they are. `counts` names columns to add: lines that are not blank, those
     dropped as equal, and those dropped for one edit. All rows and columns stay.
+    `max_edits` other than 0 and 1 raises `ValueError`.
     """
+    if max_edits not in (0, 1):
+        raise ValueError(f"max_edits is 0 or 1, not {max_edits}")
     taken = list(docs.columns)
     key, print_ = free_name("_key", taken), free_name("_print", taken)
     rows = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
