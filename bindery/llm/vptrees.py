@@ -266,7 +266,11 @@ def near_duplicates(
 
 
 def fingerprint_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """`fingerprint, component_id` from rows of `doc_id, fingerprint`."""
+    """`fingerprint, root, component_id` from rows of `doc_id, fingerprint`.
+
+    `root` is the group's own, while several groups may have one `component_id` if
+    identifiers repeat or are null.
+    """
     prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     prints = materialize(prints, "distinct")
     roots = components(link_fingerprints(prints, radius))
@@ -275,19 +279,24 @@ def fingerprint_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(rooted.join(least, "root").select("fingerprint", "component_id"), "groups")
+    return materialize(rooted.join(least, "root").select("fingerprint", "root", "component_id"), "groups")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose identifier is the smallest of their group, all columns.
+    """One row of each group: one with the group's smallest identifier, all columns.
 
-    Rows that repeat that identifier stay as well; so do rows with a null identifier, if
-    their group has no other.
+    Nulls count only if the group has no other. Of rows that repeat that identifier within
+    the group one stays, the first by the number that Spark gives them in a written table.
     """
-    mark = free_name("_print", docs.columns)
-    marked = with_fingerprints(docs, text, mark)
-    slim = materialize(marked.select(F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint")), "prints")
-    groups = fingerprint_components(slim, radius)
-    kept_ = slim.join(groups, "fingerprint").where("doc_id <=> component_id").select("doc_id").distinct()
-    key = free_name("_kept", docs.columns)
-    return docs.join(kept_.withColumnRenamed("doc_id", key), F.col(doc_id).eqNullSafe(F.col(key)), "left_semi")
+    mark, row = (free_name(name, docs.columns) for name in ("_print", "_row"))
+    marked = with_fingerprints(docs, text, mark).withColumn(row, F.monotonically_increasing_id())
+    marked = materialize(marked, "numbered")
+    slim = marked.select(
+        F.col(doc_id).alias("doc_id"), F.col(mark).alias("fingerprint"), F.col(row).alias("row")
+    )
+    groups = fingerprint_components(slim.select("doc_id", "fingerprint"), radius)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = slim.groupBy("fingerprint").agg(F.min(first).alias("first"))
+    kept_ = firsts.join(groups, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    kept_ = kept_.select(F.col("first.row").alias(row))
+    return marked.join(kept_, row, "left_semi").select(*docs.columns)
