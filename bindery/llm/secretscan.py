@@ -4,8 +4,9 @@ Candidates are runs of characters as keys have them. A window slides over each;
 counts of its characters change by one in and one out per step, so its Shannon
 entropy is kept up to date in constant time. Windows are judged by the class of
 their characters, since ten digits cannot reach the entropy that 64 characters can.
-Neighbouring hot windows join to one span. Spans that an allow-list pattern covers
-are left out; spans of known shapes always stay.
+Neighbouring hot windows join to one span. Candidates that an allow-list pattern covers
+are left out; of one that begins with an allowed date the rest is judged. Spans of known
+shapes always stay.
 """
 
 from __future__ import annotations
@@ -33,10 +34,13 @@ WINDOW = 20
 #: Bits a character: the least entropy of a window, by what it is made of. Windows of
 #: one case of letters alone are words and not judged.
 THRESHOLDS = {"digits": 3.1, "hex": 3.0, "mixed": 3.8}
+#: A date, or a date and time, and nothing after it.
+DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9]{2}(?:-?[0-9]{2}){0,2}(?:-?[0-9]{3,9})?Z?)?"
+_DATED = re.compile(f"{DATE}(?![A-Za-z0-9])")
 #: No secrets: UUIDs, dates and times, paths and names joined of words.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9-]*",
+    DATE,
     r"/?(?:[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}",
     r"[0-9]+(?:[-/][0-9]+)*",
 )
@@ -90,7 +94,13 @@ def find_spans(text: str, allowed: re.Pattern) -> list[tuple[int, int, str]]:
             continue
         if allowed.fullmatch(word):
             continue
-        found += [(m.start() + a, 3, m.start() + b) for a, b in hot_windows(word)]
+        at, date = m.start(), _DATED.match(word)
+        if date and allowed.fullmatch(date[0]):  # covers itself alone
+            rest = word[date.end() :]
+            if len(rest) < WINDOW or allowed.fullmatch(rest.lstrip("-_/")):
+                continue
+            at, word = at + date.end(), rest
+        found += [(at + a, 3, at + b) for a, b in hot_windows(word)]
     return sorted(found)
 
 
