@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -135,7 +136,7 @@ def read_token_files(spark: SparkSession, path: str, blocks: DataFrame | None =
     """Rows of `DOCUMENTS`: every document of the files, `ids` as unsigned 32-bit.
 
     Raises if a block was not written with the folder's dictionary. `blocks` limits the
-    reading to those blocks; see `read_some`.
+    reading to those blocks and, if it has `wanted`, to those identifiers; see `read_some`.
     """
     (name, dictionary, width) = spark.read.parquet(f"{path}/dictionary").first()
     dictionary, kind = bytes(dictionary), f"<u{width}"
@@ -146,22 +147,27 @@ def read_token_files(spark: SparkSession, path: str, blocks: DataFrame | None =
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         expand = zstandard.ZstdDecompressor(dict_data=known).decompress
         for batch in batches:
-            for part, block, found, index, payload in zip(*(c for c in batch.columns)):
+            for part, block, found, index, payload, *wanted in zip(*(c for c in batch.columns)):
                 if found.as_py() != name:
                     raise ValueError(f"block {block} of part {part} has another dictionary")
                 entries, held = index.values, memoryview(payload.as_buffer())
+                ends = np.cumsum(np.asarray(entries.field("n_tokens")))
+                before = pa.array(np.concatenate([[0], ends[:-1]]).astype(np.int64))
+                if wanted:  # only their frames are cut out and expanded
+                    places = pc.indices_nonzero(pc.is_in(entries.field("doc_id"), wanted[0].values))
+                    entries, before = entries.take(places), before.take(places)
                 offsets = entries.field("offset").to_pylist()
                 sizes = entries.field("size").to_pylist()
                 ids = [
                     np.frombuffer(expand(held[o : o + n]), dtype=kind).astype("<u4").tobytes()
                     for o, n in zip(offsets, sizes)
                 ]
-                n, ends = len(ids), np.cumsum(np.asarray(entries.field("n_tokens")))
+                n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, part.as_py(), np.int32)),
                         pa.array(np.full(n, block.as_py(), np.int32)),
-                        pa.array(np.concatenate([[0], ends[:-1]]).astype(np.int64)),
+                        before,
                         entries.field("doc_id"),
                         entries.field("n_tokens"),
                         pa.array(ids, pa.binary()),
@@ -173,13 +179,13 @@ def read_token_files(spark: SparkSession, path: str, blocks: DataFrame | None =
 
 
 def read_some(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Documents whose id is in `wanted.doc_id`; payloads of other blocks are not expanded."""
+    """Documents whose id is in `wanted.doc_id`; no other document's frame is expanded."""
     keys = wanted.select("doc_id").distinct()
     blocks = _blocks(spark, path)
     held = blocks.select("part", "block", F.explode("index.doc_id").alias("doc_id"))
-    hit = held.join(keys, "doc_id", "left_semi").select("part", "block").distinct()
-    found = read_token_files(spark, path, blocks.join(hit, ["part", "block"], "left_semi"))
-    return found.join(keys, "doc_id", "left_semi")
+    hit = held.join(keys, "doc_id", "left_semi").groupBy("part", "block")
+    hit = hit.agg(F.collect_set("doc_id").alias("wanted"))
+    return read_token_files(spark, path, blocks.join(hit, ["part", "block"]).select(*blocks.columns, "wanted"))
 
 
 def with_starts(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
