@@ -34,8 +34,6 @@ NEAR_CHARS = 20
 PARTS = 8
 #: Any odd number; sums are taken modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
-#: Line numbers count to this, so that identifier and number make one rank.
-LINES = 10**9
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -212,8 +210,10 @@ def drop_repeated_lines(
     Lines end at line feeds and are compared without outer blanks; blank ones stay. A
     line goes if an earlier line, kept or not, is equal or, where both have `near_chars`
     or more characters and `max_edits` is 1, differs by one inserted, deleted or
-    replaced character. Earlier means a smaller identifier, then a smaller number of
-    the line; a null identifier comes last. Rows that repeat an identifier and its
+    replaced character. Earlier means a smaller identifier, then a smaller
+    number of the line; a null identifier comes last, and among those the hash of the
+    text settles ties. Texts that repeat an identifier do not cover each other's line of
+    one number. Rows that repeat an identifier and its
     text are treated alike and cover only what comes after them. Null and empty texts
     stay as they are. `counts` names columns to add: lines that are not blank, those
     dropped as equal, and those dropped for one edit. All rows and columns stay.
@@ -232,17 +232,14 @@ def drop_repeated_lines(
         rows.select(
             F.col(key).alias("id"),
             F.col(print_).alias("print"),
+            F.when(F.col(doc_id).isNull(), F.col(print_)).otherwise(0).alias("tie"),
             F.posexplode(F.split(F.col(text), "\n", -1)).alias("number", "line"),
         )
         .withColumn("line", line)
         .where(length > 0)
         .withColumn("high", F.xxhash64("line"))
         .withColumn("low", F.xxhash64(F.lit(5), F.reverse("line"), F.lit(7)))
-        .withColumn(
-            "rank",
-            (F.col("id").cast("decimal(19,0)") * F.lit(LINES).cast("decimal(10,0)")
-             + F.col("number")).cast("decimal(31,0)"),
-        )
+        .withColumn("rank", F.struct("id", "number", "tie"))
     )
 
     def halves(m: str) -> list:
