@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from tokenizers import Tokenizer
 
 #: Distinct words a worker remembers, about 200 bytes each.
 REMEMBERED = 300_000
+#: Distinct pieces a worker remembers, about 60 bytes each, and the longest of them in bytes.
+REMEMBERED_PIECES, LONGEST_PIECE = 1_000_000, 64
 #: Text that is encoded at a time.
-STEP_BYTES = 3 * 1024 * 1024
+STEP_BYTES = 8 * 1024 * 1024
 
 #: The steps before the merges for which the shorter way holds.
 NORMALIZER = {
@@ -40,7 +43,7 @@ PRE_TOKENIZER = {
 #: ASCII and the precomposed letters of Latin-1 and Latin Extended-A that have one lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įĲ-žſ]+").fullmatch
 #: The words of lower-cased plain characters.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+").findall
 
 
 def byte_letters() -> list[str]:
@@ -65,8 +68,75 @@ def encoder(path: str) -> WordEncoder:
     return kept(f"words {path}", lambda: WordEncoder(path))
 
 
+class Pieces:
+    """Ids of the pieces met so far, in Arrow and numpy memory.
+
+    Past `limit` pieces the oftener used half of them stays; a use counts once a step, and counts are
+    halved when pieces go, so that those of earlier texts do not stay for ever. Longer
+    pieces than `LONGEST_PIECE` stay for their own step only.
+    """
+
+    def __init__(self, limit: int = REMEMBERED_PIECES):
+        self.limit = limit
+        self.known = pa.array([], pa.large_string())
+        self.pool = np.zeros(0, "<u4")
+        self.size = self.uses = np.zeros(0, np.int64)
+
+    def find(self, pieces: pa.Array, ids_of) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `pool` the ids of each distinct piece begin, and how many they are.
+
+        `ids_of` is asked once for all pieces not known.
+        """
+        at = pc.index_in(pieces, value_set=self.known)
+        which = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
+        unknown = which < 0
+        if unknown.any():
+            fresh = pieces.filter(pa.array(unknown))
+            ids = ids_of(fresh.to_numpy(zero_copy_only=False).tolist())
+            which[unknown] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+            size = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+            self.size = np.concatenate([self.size, size])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.uses[which] += 1
+        return (np.cumsum(self.size) - self.size)[which], self.size[which]
+
+    def forget(self) -> None:
+        keep = np.asarray(pc.binary_length(self.known)) <= LONGEST_PIECE
+        if len(self.known) > self.limit:
+            often = np.zeros(len(keep), bool)
+            often[np.argsort(-np.where(keep, self.uses, 0), kind="stable")[: self.limit // 2]] = True
+            keep, self.uses = keep & often, self.uses // 2
+        if keep.all():
+            return
+        self.known = self.known.filter(pa.array(keep))
+        self.pool = self.pool[np.repeat(keep, self.size)]
+        self.size, self.uses = self.size[keep], self.uses[keep]
+
+
+class Words(dict):
+    """Ids of words as the model's merges give them, in two generations of bounded size."""
+
+    def __init__(self, model, remembered: int):
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x21, 0x180)}
+        self.tokenize, self.remembered, self.older = model.tokenize, remembered, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            tokens = self.tokenize(word.translate(self.letters))
+            found = array("I", [t.id for t in tokens]).tobytes()
+        if len(self) >= self.remembered // 2:  # the words in use move on
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class WordEncoder:
-    """Encodes every distinct piece between ASCII white space once a step.
+    """Encodes every distinct piece between ASCII white space once while it is remembered.
 
     Holds for tokenizers that drop white space, split at it and treat what lies
     between alone, as those with word-end marks do; special tokens must hold no
@@ -77,8 +147,8 @@ class WordEncoder:
     go to the merges directly, and words that differ in case or signs alone are one.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.words, self.older, self.remembered = {}, {}, remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED, pieces: int = REMEMBERED_PIECES):
+        self.pieces = Pieces(pieces)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -87,37 +157,24 @@ class WordEncoder:
             spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
         )
         self.marks = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
-        letters = byte_letters()
-        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x21, 0x180)}
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = self.older.get(word)
-            if found is None:
-                tokens = self.tokenizer.model.tokenize(word.translate(self.letters))
-                found = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-            if len(self.words) >= self.remembered // 2:  # the words in use move on
-                self.older, self.words = self.words, {}
-            self.words[word] = found
-        return found
-
-    def _short(self, piece: str) -> bytes | None:
-        """Ids of a piece of plain characters, None for any other."""
-        if not PLAIN(piece) or ("<" in piece and self.marks.search(piece)):
-            return None
-        return b"".join(map(self._word, PARTS.findall(piece.lower())))
+        self.words = Words(self.tokenizer.model, remembered)
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         found: list[bytes | None] = [None] * len(pieces)
         if self.short_way:
-            found = [self._short(piece) if piece else b"" for piece in pieces]
+            word, search = self.words.__getitem__, self.marks.search
+            found = [
+                b"".join(map(word, PARTS(piece.lower())))
+                if PLAIN(piece) and not ("<" in piece and search(piece))
+                else None if piece else b""
+                for piece in pieces
+            ]
         rest = [i for i, ids in enumerate(found) if ids is None]
         encoded = self.tokenizer.encode_batch_fast(
             [pieces[i] for i in rest], add_special_tokens=False
         )
         for i, one in zip(rest, encoded):
-            found[i] = np.array(one.ids, dtype="<u4").tobytes()
+            found[i] = array("I", one.ids).tobytes()
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +184,12 @@ class WordEncoder:
         """
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         pieces = split.flatten().dictionary_encode()
-        stored = self._ids_of(pieces.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(stored), dtype="<u4")
-        size = np.fromiter((len(ids) // 4 for ids in stored), np.int64, len(stored))
-        place = np.cumsum(size) - size
+        place, size = self.pieces.find(pieces.dictionary, self._ids_of)
+        pool = self.pieces.pool
         which = np.asarray(pieces.indices)
         count = size[which]
         ends = np.concatenate([[0], np.cumsum(count)])
         ids = pool[np.repeat(place[which] - ends[:-1], count) + np.arange(ends[-1])]
+        self.pieces.forget()
         borders = np.asarray(split.offsets).astype(np.int64)
         return ids, ends[borders - borders[0]]
