@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import exact, language, lines, packing, prefixbpe, secretscan, sharding, simhash, tokenfiles, vptrees
+from bindery.llm import (
+    exact,
+    filteraudit,
+    language,
+    lines,
+    packing,
+    prefixbpe,
+    quality,
+    secretscan,
+    sharding,
+    simhash,
+    tokenfiles,
+    vptrees,
+    whitening,
+)
 from bindery.llm.common import documents, hex_sha256
 from bindery.scratch import scratch_path
 
@@ -104,6 +118,25 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _labels(spark, sf_dir).where("quality = 1")
+    return quality.quality_rules(documents(spark, sf_dir), trusted)
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filteraudit.failure_counts(documents(spark, sf_dir), _labels(spark, sf_dir))
+    return filteraudit.filter_steps(counts, filteraudit.FILTERS)
+
+
 QUERIES = {
     "op1_packing": packed,
     "op2_exact_dedup": exact_dedup,
@@ -115,6 +148,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup,
     "op9_secret_scan": secret_scan,
     "op10_sharding": shards,
+    "op11_whitening": whitened,
+    "op12_quality_rules": quality_verdicts,
+    "op13_filter_audit": filter_interactions,
 }
 
 ORACLES = {
@@ -128,4 +164,49 @@ ORACLES = {
           doc_id = min(doc_id) over w as kept
         from d window w as (partition by text_sha256)
     """,
+    "op13_filter_audit": r"""
+        with d as (
+          select doc_id, coalesce(source, '') as part, coalesce(text, '') as body,
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+            min(doc_id) over (partition by coalesce(text, '')) as first_id
+          from documents
+        ),
+        known as (
+          select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+        ),
+        masks as (
+          select part,
+            case when len(words) < 200 then 'A' else '' end
+            || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+            || case when 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 2 * length(body) then 'C' else '' end
+            || case when regexp_matches(body, '[#$%&*|]') then 'D' else '' end
+            || case when doc_id > first_id then 'E' else '' end as mask,
+            count(*) as n, coalesce(sum(known.good), 0) as good, coalesce(sum(known.toxic), 0) as toxic
+          from d left join known using (doc_id) group by all
+        ),
+        letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (
+          select a.x || b.x || c.x || d.x || e.x as filter_order
+          from letter a, letter b, letter c, letter d, letter e
+          where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ),
+        met as (
+          select part, mask, n, good, toxic, filter_order,
+            case when mask = '' then 6 else
+              list_min(list_transform(string_split(mask, ''), lambda f: instr(filter_order, f))) end as first_met
+          from masks, orders
+        ),
+        steps as (
+          select part, filter_order, step, substr(filter_order, step, 1) as filter,
+            sum(case when first_met > step then n else 0 end)::bigint as kept,
+            sum(case when first_met = step then n else 0 end)::bigint as removed,
+            sum(case when first_met < step and contains(mask, substr(filter_order, step, 1)) then n else 0 end)::bigint
+              as redundant,
+            sum(case when mask = substr(filter_order, step, 1) then n else 0 end)::bigint as unique_fails,
+            sum(case when first_met = step then good else 0 end)::bigint as good_lost,
+            sum(case when first_met = step then toxic else 0 end)::bigint as toxic_lost
+          from met, (select unnest([1, 2, 3, 4, 5]) as step) group by all
+        )
+        select * exclude (filter), (sum(removed) over (partition by part, filter))::bigint as shapley from steps
+    """,
 }
