@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import BLANKS, filter_table, maybe_in
+from bindery.llm.common import BLANKS, FILTER_BITS, filter_table, maybe_in
 from bindery.scratch import materialize
 
 #: Buckets of single tokens, and as many of pairs.
@@ -33,6 +33,8 @@ SMOOTHING = 1
 UNIT = 1 << 16
 #: Documents below this many nats an n-gram are not kept.
 THRESHOLD = -0.35
+#: Bits of the largest table of trusted identifiers: two million rows of 16 bytes.
+MOST_BITS = 1 << 27
 #: Words of the windows whose repeats count.
 WINDOW = 8
 
@@ -114,13 +116,18 @@ def gram_counts(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
 def trusted_rows(features: DataFrame, trusted: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Rows of `features` whose identifier is in `trusted.doc_id`.
 
-    A bit table that every task gets lets most others go before the join shuffles.
+    A bit table that every task gets lets most others go before the join shuffles. It
+    grows with the trusted documents, up to `MOST_BITS`, past which more rows are
+    shuffled. The join is a merge at every size, so that its cost grows evenly.
     """
     keys = trusted.where("doc_id is not null").select("doc_id").distinct()
-    table = filter_table(keys.select(F.xxhash64("doc_id").alias("key")), "key")
+    bits, wanted = FILTER_BITS, min(MOST_BITS, 16 * keys.count())
+    while bits < wanted:
+        bits *= 2
+    table = filter_table(keys.select(F.xxhash64("doc_id").alias("key")), "key", bits)
     rows = features.where(F.col(doc_id).isNotNull()).withColumn("_hash", F.xxhash64(doc_id))
-    rows = maybe_in(rows, "_hash", table, "_maybe").where("_maybe").drop("_hash", "_maybe")
-    return rows.join(keys.withColumnRenamed("doc_id", doc_id), doc_id, "left_semi")
+    rows = maybe_in(rows, "_hash", table, "_maybe", bits).where("_maybe").drop("_hash", "_maybe")
+    return rows.join(keys.withColumnRenamed("doc_id", doc_id).hint("merge"), doc_id, "left_semi")
 
 
 def log_ratios(target: DataFrame, raw: DataFrame) -> list[int]:
