@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters `[\x20\x09-\x0D]` that part words.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -36,6 +37,26 @@ def free_name(wanted: str, taken: list[str]) -> str:
     return wanted
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names as `select` takes them, whatever signs they hold."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def map_in_arrow(rows: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """`rows.mapInArrow` for columns of any name; Spark's own does not take names with dots."""
+
+    def named(n: int) -> list[str]:
+        return [f"c{i}" for i in range(n)]
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in function(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=named(batch.num_columns))
+
+    fields = zip(named(len(schema)), schema.fields)
+    inner = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in fields])
+    return rows.toDF(*named(len(rows.columns))).mapInArrow(plain, inner).toDF(*schema.names)
+
+
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a text column that hold about `limit` bytes, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)

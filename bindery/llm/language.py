@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.llm.common import steps
+from bindery.llm.common import map_in_arrow, steps
 from bindery.llm.tokens import kept
 
-#: The sample that the classifiers learn from: about so many rows of each language,
-#: so many in all, and so many characters of each.
-PER_LANGUAGE, IN_ALL, SAMPLE_CHARS = 400, 8_000, 8_000
+#: The sample that the classifiers learn from: about so many rows of each language, and so
+#: many in all. Their texts count whole.
+PER_LANGUAGE, IN_ALL = 400, 8_000
+#: Languages that are learned at most, those with most rows.
+MOST_LANGUAGES = 400
 BUCKETS = 1 << 14
 #: A margin counts as if the text had so many trigrams at most, as they are not independent.
 TRUSTED = 30
@@ -106,29 +108,45 @@ def fit_languages(
 ) -> LanguageModel:
     """Learn from a sample of the rows whose `text` and `lang` are not null.
 
-    Which rows are drawn depends on a hash of `key`. Without such rows the model knows
-    no language.
+    Which rows are drawn depends on a hash of `key`; rows that repeat it are drawn
+    together. Their whole texts are counted within tasks, and only the trigram counts of
+    each language reach the driver. Past `MOST_LANGUAGES` values of `lang` the rarest are
+    not learned. Without such rows the model knows no language.
     """
     rows = labelled.select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")
     ).where("lang is not null and text is not null")
-    held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    held = {r.lang: r.n for r in found.limit(MOST_LANGUAGES).collect()}
     if not held:
         return LanguageModel((), np.zeros((0, 0), np.int8), np.zeros((0, BUCKETS), np.float32))
     each = max(20, min(per_language, IN_ALL // len(held)))
     shares = [x for k, n in held.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))]
     draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) / 1e6
-    sample = rows.where(draw < F.element_at(F.create_map(*shares), F.col("lang")))
-    taken = (
-        sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .limit(2 * each * len(held))
-        .collect()
-    )
-    languages = tuple(sorted({r.lang for r in taken}))
+    sample = rows.where(draw < F.try_element_at(F.create_map(*shares), F.col("lang")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang_, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bucket, _, _ = trigrams([body.as_py()])
+                own = np.bincount(bucket, minlength=BUCKETS)
+                sums[lang_] = sums[lang_] + own if lang_ in sums else own
+        for lang_, own in sums.items():
+            hit = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang_] * len(hit)), pa.array(hit.astype(np.int32)), pa.array(own[hit].astype(np.int64))],
+                names=["lang", "bucket", "n"],
+            )
+
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    taken = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("grams")).collect()
+    languages = tuple(sorted(r.lang for r in taken))
     counts = np.zeros((len(languages), BUCKETS))
     for row in taken:
-        bucket, _, _ = trigrams([row.text])
-        counts[languages.index(row.lang)] += np.bincount(bucket, minlength=BUCKETS)
+        bucket, n = zip(*row.grams)
+        counts[languages.index(row.lang), list(bucket)] = n
     counts[:, 0] = 0
     shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
     code, floor = codewords(len(languages)), 1e-6
@@ -141,18 +159,22 @@ def fit_languages(
 
 
 def predict_languages(
-    docs: DataFrame, model: LanguageModel, text: str = "text"
+    docs: DataFrame,
+    model: LanguageModel,
+    text: str = "text",
+    names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"),
 ) -> DataFrame:
-    """`docs` with `lang_pred`, `score` and `ambiguous` from the whole text alone.
+    """`docs` with `lang_pred`, `score` and `ambiguous`, or so named, from the whole text alone.
 
     `lang_pred` is `und` with score 0, and ambiguous, where the text is null or has no
     letter, or if the model knows no language. `score` is the share of the best
     language among all by exp(-loss). `ambiguous` says that the second language is
     about as near. Ties go to the language that sorts first. Rows stay as they are,
-    repeated ones too; an empty table stays empty. The three names must be new.
+    repeated ones too; an empty table stays empty. `names` must be new to `docs`, whose
+    other columns may have any name.
     """
-    if {"lang_pred", "score", "ambiguous"} & {name.lower() for name in docs.columns}:
-        raise ValueError("lang_pred, score and ambiguous must be new names")
+    if {name.lower() for name in names} & {name.lower() for name in docs.columns}:
+        raise ValueError(f"{', '.join(names)} must be new names")
     place, languages = docs.columns.index(text), np.array([*model.languages, UNKNOWN])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +207,18 @@ def predict_languages(
             ]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *added],
-                names=[*batch.schema.names, "lang_pred", "score", "ambiguous"],
+                names=[*batch.schema.names, *names],
             )
 
     schema = T.StructType(
         [
             *docs.schema.fields,
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("ambiguous", T.BooleanType()),
+            T.StructField(names[0], T.StringType()),
+            T.StructField(names[1], T.DoubleType()),
+            T.StructField(names[2], T.BooleanType()),
         ]
     )
-    return docs.mapInArrow(predict, schema)
+    return map_in_arrow(docs, predict, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

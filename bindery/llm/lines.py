@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import filter_table, free_name, maybe_in
+from bindery.llm.common import filter_table, free_name, map_in_arrow, maybe_in, quoted
 from bindery.scratch import materialize
 
-#: Shorter lines meet only if they are equal.
-NEAR_CHARS = 20
+#: Shorter lines meet only if they are equal; by default there are none.
+NEAR_CHARS = 0
 PARTS = 8
 #: Any odd number; sums are taken modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -208,14 +208,15 @@ def drop_repeated_lines(
     """`docs` with `text` without the lines that an earlier line covers.
 
     Lines end at line feeds and are compared without outer blanks; blank ones stay. A
-    line goes if an earlier line, kept or not, is equal or, where both have `near_chars`
-    or more characters and `max_edits` is 1, differs by one inserted, deleted or
-    replaced character. Earlier means a smaller identifier, then a smaller
+    line goes if an earlier line, kept or not, is equal or, where `max_edits` is 1, differs
+    by one inserted, deleted or replaced character; `near_chars` asks that both lines have
+    so many characters for that. Earlier means a smaller identifier, then a smaller
     number of the line; a null identifier comes last, and among those the hash of the
     text settles ties. Texts that repeat an identifier do not cover each other's line of
     one number. Rows that repeat an identifier and its
     text are treated alike and cover only what comes after them. Null and empty texts
-    stay as they are. `counts` names columns to add: lines that are not blank, those
+    stay as they are, and an empty table stays empty. One text, however long, has to fit a
+    task several times over; its lines go separate ways. `counts` names columns to add: lines that are not blank, those
     dropped as equal, and those dropped for one edit. All rows and columns stay.
     `max_edits` other than 0 and 1 raises `ValueError`.
     """
@@ -291,7 +292,7 @@ def drop_repeated_lines(
         F.col("id").alias(key), F.col("print").alias(print_),
         F.col("numbers").alias(numbers), F.col("near").alias(near_),
     )
-    joined = rows.join(dropped, [key, print_], "left").select(*docs.columns, numbers, near_)
+    joined = rows.join(dropped, [key, print_], "left").select(*quoted(docs.columns), numbers, near_)
     place, names = docs.columns.index(text), list(counts or ())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,4 +319,4 @@ def drop_repeated_lines(
             yield pa.RecordBatch.from_arrays(columns, names=[*taken, *names])
 
     added = docs.select("*", *(F.lit(0).cast("long").alias(name) for name in names)).schema
-    return joined.mapInArrow(cut, added)
+    return map_in_arrow(joined, cut, added)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm.common import free_name, map_in_arrow
+
 #: The known shapes, whose spans are reported as they match.
 ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -127,11 +129,11 @@ def find_secrets(
 
     Spans are sorted by start, then by kind in the order of `KINDS`; spans of several
     kinds may overlap. A null or empty text has none. Rows stay as they are, repeated
-    ones too. `spans` must be a new name.
+    ones too; an empty table stays empty. Where `docs` has a column of the name `spans`, the
+    new one is longer by underscores. Texts, however long, are scanned whole, one at a time.
     """
-    if spans.lower() in {name.lower() for name in docs.columns}:
-        raise ValueError(f"{spans} is a column already")
-    place = docs.columns.index(text)
+    spans = free_name(spans, docs.columns)
+    place, added = docs.columns.index(text), spans
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow = re.compile("|".join(f"(?:{a})" for a in allowed) or r"(?!)")
@@ -145,11 +147,11 @@ def find_secrets(
             ]
             rows = [[dict(zip(("kind", "start", "stop"), s)) for s in spans] for spans in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, spans]
+                [*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, added]
             )
 
     schema = docs.select("*", F.lit(None).cast(SPANS).alias(spans)).schema
-    return docs.mapInArrow(scan, schema)
+    return map_in_arrow(docs, scan, schema)
 
 
 def redact_secrets(
@@ -161,6 +163,7 @@ def redact_secrets(
     """`docs` with each secret, overlapping spans together, replaced by `mask`.
 
     All rows and columns stay; a text without secrets, null or empty does not change.
+    Repeated rows are masked alike; an empty table stays empty.
     """
     place = docs.columns.index(text)
 
@@ -176,4 +179,4 @@ def redact_secrets(
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_in_arrow(docs, scan, docs.schema)

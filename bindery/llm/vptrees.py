@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.llm.common import free_name
+from bindery.llm.common import free_name, map_in_arrow, quoted
 from bindery.llm.components import components
 from bindery.scratch import materialize
 
@@ -71,7 +71,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerpr
                 names=[*batch.schema.names, name],
             )
 
-    return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return map_in_arrow(docs, mark, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 class Tree:
@@ -299,4 +299,4 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", te
     firsts = slim.groupBy("fingerprint").agg(F.min(first).alias("first"))
     kept_ = firsts.join(groups, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
     kept_ = kept_.select(F.col("first.row").alias(row))
-    return marked.join(kept_, row, "left_semi").select(*docs.columns)
+    return marked.join(kept_, row, "left_semi").select(*quoted(docs.columns))

@@ -12,20 +12,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.llm import language, lines, packing, secretscan, vptrees
-from bindery.llm.common import documents
+from bindery.llm.common import documents, free_name, quoted
 from bindery.scratch import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those in which no language outweighs the rest."""
+    """Drop documents without a letter, and those in which no language outweighs the rest.
+
+    A null or empty text goes; repeated rows are judged alike; languages that tie leave
+    none over half. Texts, however long, are read whole. An empty table stays empty.
+    """
     model = language.fit_languages(docs.where(~F.coalesce(language.held_out(), F.lit(False))))
-    rows = language.predict_languages(docs, model)
-    kept = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0.5)
-    return rows.where(kept).select(*docs.columns)
+    names = tuple(free_name(name, docs.columns) for name in ("lang_pred", "score", "ambiguous"))
+    rows = language.predict_languages(docs, model, names=names)
+    kept = (F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) > 0.5)
+    return rows.where(kept).select(*quoted(docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that occurred before, and documents of which none is left."""
+    """Drop lines that occurred before, and documents of which none is left.
+
+    Null, empty and blank texts go. Repeated rows lose the same lines; of equal lines the
+    first by identifier stays, null identifiers last. An empty table stays empty.
+    """
     rows = lines.drop_repeated_lines(docs)
     return rows.where(F.length(F.btrim(F.col("text"), F.lit(" \t\n\r\x0b\x0c"))) > 0)
 
@@ -46,7 +55,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with a checksum of their ids."""
+    """The pieces of the packed sequences, with a checksum of their ids.
+
+    A null or empty text is its end id; repeated rows are documents of their own, long
+    texts run over several sequences. An empty table gives no pieces.
+    """
     pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 

@@ -1,0 +1,91 @@
+"""Stages and operators beside columns of any name; whole texts in training."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from bindery.llm import language, lines, secretscan, vptrees
+from bindery.llm.registry import WORDS
+from bindery.llm import packing
+
+NAMES = ["score", "lang_pred", "ambiguous", "Spans", "a.b", "_KEY", "_print", "_row", "n", "slot"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in NAMES)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [f"some words of text number {'abcdefgh'[i % 8] * 9} and password = 'abc{i}defghijk'" for i in range(12)]
+    texts += [None, "", " \n ", texts[0], "12 34"]
+    rows = [(i if i != 5 else None, t, "en" if i % 2 else "de", "s", 1, *range(len(NAMES))) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows + rows[:2], SCHEMA).repartition(3)
+
+
+def test_stages(spark, docs):
+    given = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == given.columns, name
+        rows = docs.collect()
+        assert rows and all(r["a.b"] == 4 for r in rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.count() >= len(rows)
+
+
+def test_operators(docs):
+    n = docs.count()
+    found = secretscan.find_secrets(docs)
+    assert found.columns[-1] == "spans_" and found.count() == n
+    assert any(r["spans_"] for r in found.collect())
+    assert lines.drop_repeated_lines(docs, counts=("x", "y", "z")).count() == n
+    assert vptrees.keep_first(docs).columns == docs.columns
+    assert packing.pack_documents(docs, WORDS).count() >= n
+
+
+def test_empty_table(spark, docs):
+    none = docs.where("1 = 0")
+    assert secretscan.find_secrets(none).collect() == []
+    assert secretscan.redact_secrets(none).collect() == []
+    assert lines.drop_repeated_lines(none).collect() == []
+    assert vptrees.keep_first(none).collect() == []
+
+
+def test_training_counts_whole_texts(spark):
+    """What tells two languages apart stands past the first ten thousand characters."""
+    same = "aaa " * 4_000
+    rows = [(i, same + ("xyz " * 50 if i % 2 else "uvw " * 50), "x" if i % 2 else "u") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit_languages(table)
+    asked = spark.createDataFrame([(1, "xyz xyz xyz xyz"), (2, "uvw uvw uvw uvw")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict_languages(asked, model).collect()} == {1: "x", 2: "u"}
+
+
+def test_losses_and_scores_recomputed(spark):
+    """Margins, losses and scores from the model's tables, trigram by trigram."""
+    random = np.random.default_rng(3)
+    kinds = {"p": "bdo", "q": "aklm", "r": "eirst"}
+    rows = [(i, " ".join("".join(random.choice(list(s), 4)) for _ in range(30)), k) for i, (k, s) in enumerate(list(kinds.items()) * 20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit_languages(table, per_language=1000)
+    counts = {k: np.zeros(language.BUCKETS) for k in model.languages}
+    for _, text, lang in rows:
+        for b in language.trigrams([text])[0]:
+            counts[lang][b] += b > 0
+    shares = np.stack([counts[k] / counts[k].sum() for k in model.languages])
+    for bit in range(model.code.shape[1]):
+        sides = [shares[model.code[:, bit] == s].mean(0) for s in (1, -1)]
+        want = np.log((sides[0] + 1e-6) / (sides[1] + 1e-6))
+        want[0] = 0
+        assert np.allclose(model.weights[bit], want, atol=1e-5)
+    asked = rows[:6] + [(99, "bd ak", None), (100, "e", None)]
+    got = {r.doc_id: r for r in language.predict_languages(spark.createDataFrame(asked, table.schema), model).collect()}
+    for i, text, _ in asked:
+        grams = [b for b in language.trigrams([text])[0] if b]
+        letters = sum(c.isalpha() for c in text)
+        margins = [sum(float(w[b]) for b in grams) * min(letters, language.TRUSTED) / letters for w in model.weights]
+        losses = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, word)) for word in model.code]
+        assert got[i].lang_pred == model.languages[int(np.argmin(losses))]
+        weights = np.exp(min(losses) - np.array(losses))
+        assert abs(got[i].score - 1 / weights.sum()) < 1e-4
+        order = sorted(losses)
+        if abs(order[1] - order[0] - language.CLEAR) > 1e-3:
+            assert got[i].ambiguous == (order[1] - order[0] < language.CLEAR)
