@@ -90,18 +90,23 @@ def status_counts(checked: DataFrame) -> DataFrame:
 
 
 def extract_policy(
-    checked: DataFrame, on_fail: str = "abort"
+    checked: DataFrame, on_fail: str = "abort", unsigned: str = "keep"
 ) -> tuple[DataFrame, DataFrame]:
     """Split checked frames into (to extract, quarantined).
 
-    `abort` looks for a failure before anything is written and raises;
-    `quarantine` sets failures aside. Unsigned frames are extracted.
+    `abort` looks for a failure before anything is written and raises, also for a file
+    that is `MISSING`; `quarantine` sets failures aside. Unsigned frames are extracted,
+    or count as failures where `unsigned` is `refuse`.
     """
     if on_fail not in ("abort", "quarantine"):
         raise ValueError(f"on_fail must be 'abort' or 'quarantine', not {on_fail!r}")
-    failed = F.col("status").isin(MISMATCH, UNCHECKED)
+    if unsigned not in ("keep", "refuse"):
+        raise ValueError(f"unsigned must be 'keep' or 'refuse', not {unsigned!r}")
+    refused = [UNSIGNED] if unsigned == "refuse" else []
+    failed = F.col("status").isin(MISMATCH, UNCHECKED, *refused)
     bad = checked.filter(failed)
-    if on_fail == "abort" and not bad.isEmpty():
-        first = bad.select("bundle", "path").first()
-        raise VerificationError(f"verification failed for {first.path} in {first.bundle}")
+    if on_fail == "abort":
+        first = checked.filter(failed | (F.col("status") == MISSING)).select("bundle", "path", "status").first()
+        if first:
+            raise VerificationError(f"{first.path} in {first.bundle} is {first.status}")
     return checked.filter(~failed & (F.col("status") != MISSING)), bad

@@ -368,6 +368,59 @@ union all select concat('e', doc_id, '/'), 'UNSAFE' from d where k = 3
 union all select distinct concat('f/', doc_id - k + 4), 'WRITTEN' from d where k in (4, 5)
 union all select '.', 'UNSAFE' from d where k = 6
 union all select concat('g', doc_id), 'WRITTEN' from d where k = 7""",
+    "extract_commit": """with d as (
+  select doc_id, doc_id % 8 as k, sha256(coalesce(text, '')) as sha from documents),
+beside as (select doc_id, doc_id + 1 in (select doc_id from d) as clash from d)
+select concat('d', doc_id) as path, case when clash then 'CONFLICT' else 'WRITTEN' end as status,
+  case when not clash then sha end as sha from d join beside using (doc_id) where k = 0
+union all select concat('d', doc_id - 1, '/x'), 'WRITTEN', sha from d where k = 1
+union all select concat('../', doc_id), 'UNSAFE', null from d where k = 2
+union all select concat('e', doc_id, '/'), 'UNSAFE', null from d where k = 3
+union all select concat('f/', doc_id - k + 4), 'WRITTEN', arg_max(sha, doc_id) from d where k in (4, 5)
+  group by doc_id - k
+union all select '.', 'UNSAFE', null from d where k = 6
+union all select concat('g', doc_id), 'WRITTEN', sha from d where k = 7""",
+    "verify_plain_files": f"""with {FILES}, {BODIES},
+plain as (
+  select bundle, path, case when seq % 11 = 0 then raw || 'changed' || {LF} else raw end as raw
+  from files where seq % 19 <> 0),
+expected as (select bundle, path, sha256(body) as e from bodies where not is_binary and seq % 17 <> 0),
+plain_marked as (
+  select *, {_CONTROL}::bigint as ctl, least(strlen(raw), {HEAD_BYTES})::bigint as head_len from plain),
+found as (
+  select bundle, path, sha256({_squeezed(f"raw || {LF}")}) as f
+  from plain_marked where not (head_len > 0 and (ctl * 100) // greatest(head_len, 1) > 10))
+select bundle, path, case when f is null then 'MISSING' when e is null then 'UNSIGNED'
+    when f = e then 'OK' else 'MISMATCH' end as status
+from found full outer join expected using (bundle, path)""",
+    "hash_tree": f"""with {FILES}, {BODIES},
+entries as (
+  select sha256(length(bundle)::varchar || ':' || bundle || path) as k, sha256(body) as sha
+  from bodies where not is_binary),
+leaves as (select substr(k, 1, 2) as node, sha256(k || ':' || sha) as leaf from entries),
+second as (
+  select node, sha256(string_agg(leaf, '' order by leaf)) as digest, count(*) as files
+  from leaves group by node),
+first as (
+  select substr(node, 1, 1) as node, sha256(string_agg(node || ':' || digest, '' order by node)) as digest,
+    sum(files)::bigint as files
+  from second group by substr(node, 1, 1))
+select 2 as level, node, digest, files from second union all select 1, node, digest, files from first
+union all select 0, '', sha256(string_agg(node || ':' || digest, '' order by node)), sum(files)::bigint from first""",
+    "verify_root": f"""with {FILES}, {FRAMES}, {UNPACKED},
+numbered as (
+  select *, regexp_extract(path, 'doc_(\\d+)', 1)::bigint as n from unpacked where kind = 'text'),
+digests as (
+  select bundle, path, n, sha256(case when n % 101 = 7 then body || 'changed' || {LF} else body end) as f
+  from numbered where n % 97 <> 5),
+found as (
+  select bundle, path, f from digests
+  union all select bundle, path || '.forged', f from digests where n % 89 = 3),
+expected as (select bundle, path, sha256(body) as e from bodies where not is_binary)
+select * from (
+  select bundle, path, case when f is null then 'MISSING' when e is null then 'UNSIGNED'
+    when f = e then 'OK' else 'MISMATCH' end as status
+  from found full outer join expected using (bundle, path)) where status <> 'OK'""",
     "safe_path": f"""with h as (select doc_id as seq, {HEADER_PATH_SQL} as path from documents)
 select seq, path, not regexp_matches(path, '{_UNSAFE}') as safe from h""",
     "relative_path": f"""with h as (select doc_id as seq, {HEADER_PATH_SQL} as path from documents)

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from bindery import stores
 from bindery.config import PackConfig
 from bindery.functions import frames, globs, integrity, paths, text
-from bindery.operators import admission, catalog, packing, prefix, report, unpacking
+from bindery.operators import admission, catalog, hashtree, packing, prefix, report, unpacking
 from bindery.operators import integrity as checks
 from bindery.scratch import scratch_path
 from bindery.sinks.bundles import write_bundles, write_manifest, write_table
 from bindery.sinks.files import extract_files, extract_status, split_safe
+from bindery.sinks.staged import extract_commit as staged_extraction
 from bindery.sources.bundles import read_bundles
 from bindery.sources.content import read_binary_files, read_content
 from bindery.sources.tables import files_from_table
@@ -689,6 +690,73 @@ def extract_odd_paths(spark, sf_dir):
     return extract_status(rows, scratch_path(spark, "odd")).select("path", "status")
 
 
+@query
+def extract_commit(spark, sf_dir):
+    """The same paths, staged and published as a whole, and the files read again."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.lit("").alias("bundle"),
+        F.expr(EXTRACT_PATH_SQL).alias("path"),
+        F.col("doc_id").alias("seq"),
+        F.coalesce("text", F.lit("")).alias("content"),
+    )
+    out = scratch_path(spark, "staged")
+    status = staged_extraction(rows, out)
+    read = read_content(catalog_walk(spark, [out]))
+    root = len(stores.local_path(out)) + 1
+    found = read.select(F.substr("path", F.lit(root + 1)).alias("_file"), sha("content"))
+    same = (F.col("path") == F.col("_file")) & (F.col("status") == "WRITTEN")
+    return status.join(found, same, "left").select("path", "status", "sha")
+
+
+def _plain_files(spark, sf_dir) -> DataFrame:
+    """The corpus extracted to files, some of them changed or missing, and read again."""
+    number = F.col("seq")
+    rows = corpus(spark, sf_dir).filter(number % 19 != 0).select(
+        "bundle", "seq", "path",
+        F.when(number % 11 == 0, F.concat("content", F.lit("changed\n").cast("binary")))
+        .otherwise(F.col("content")).alias("content"),
+    )
+    out = scratch_path(spark, "plain")
+    staged_extraction(rows, out).count()
+    read = read_content(catalog_walk(spark, [out], include_hidden=True))
+    root = len(stores.local_path(out)) + 1
+    path = F.substr("path", F.lit(root + 1))
+    read = read.withColumn("seq", F.lit(0).cast("long"))  # paths are unique
+    return read.withColumn("bundle", F.substring_index(path, "/", 1)).withColumn(
+        "path", F.substr(path, F.length(F.substring_index(path, "/", 1)) + 2)
+    )
+
+
+@query
+def verify_plain_files(spark, sf_dir):
+    """Files on disk, not frames, against a manifest that lacks some of them."""
+    manifest = checks.integrity_manifest(corpus(spark, sf_dir)).filter("seq % 17 != 0")
+    found = checks.integrity_manifest(_plain_files(spark, sf_dir))
+    return checks.verify(found, manifest)
+
+
+@query
+def hash_tree(spark, sf_dir):
+    """Every node of the hash tree over the manifest."""
+    manifest = checks.integrity_manifest(corpus(spark, sf_dir))
+    return hashtree.hash_tree(manifest, digits=2).nodes
+
+
+@query
+def verify_root(spark, sf_dir):
+    """Missing, forged and changed files, told by a root that was kept apart."""
+    files = corpus(spark, sf_dir)
+    path = scratch_path(spark, "tree")
+    root = hashtree.write_tree(hashtree.hash_tree(checks.integrity_manifest(files, HMAC_KEY), HMAC_KEY, digits=2), path)
+    number = _doc_number()
+    unpacked = unpacking.unpack(packing.pack(files)).filter(number % 97 != 5)
+    changed = F.when(number % 101 == 7, F.concat("body", F.lit("changed\n"))).otherwise(F.col("body"))
+    digests = checks.frame_digests(unpacked.withColumn("body", changed), HMAC_KEY)
+    forged = digests.filter(number % 89 == 3).withColumn("path", F.concat("path", F.lit(".forged")))
+    return hashtree.verify_root(digests.unionByName(forged), hashtree.read_tree(spark, path, HMAC_KEY), root, HMAC_KEY)
+
+
 @query
 def digest_text(spark, sf_dir):
     """Digests in the base64 form of headers, and whether they read back."""

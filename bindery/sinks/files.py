@@ -24,7 +24,7 @@ def split_safe(rows: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]
     return relative.filter(safe), relative.filter(~safe)
 
 
-def _folder_clashes(kept: DataFrame) -> DataFrame:
+def folder_clashes(kept: DataFrame) -> DataFrame:
     """`bundle, path` of the files whose path is a folder of another file. Moves keys only."""
     keys = kept.select("bundle", "path")
     parts = F.split("path", "/")
@@ -39,7 +39,6 @@ def _writer(out: str):
     def write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import posixpath
         import uuid
-        from urllib.parse import quote
 
         store, base = stores.open_store(out)
         local = store.type_name == "local"
@@ -63,13 +62,10 @@ def _writer(out: str):
         for batch in batches:
             status = []
             for row in batch.itertuples():
-                name = quote(row.bundle, safe="")
-                if not name.strip("."):
-                    name = name.replace(".", "%2E")  # no folder may be `.` or `..`
                 try:
                     if row.content is None:
                         raise ValueError("no content")
-                    write(f"{base}/{name}" if name else base, row.path, row.content)
+                    write(stores.folder_of(base, row.bundle), row.path, row.content)
                     status.append("WRITTEN")
                 except (OSError, ValueError):
                     status.append("FAILED")
@@ -95,7 +91,7 @@ def extract_status(rows: DataFrame, out: str, order: str = "seq", prefix: str =
     safe, unsafe = split_safe(named, prefix)
     tidy = safe.withColumn("path", paths.tidy_path(F.col("path")))
     kept = last_wins(tidy.select("bundle", "path", order, "content"), order)
-    clashes = materialize(_folder_clashes(tidy), "clashes").distinct()
+    clashes = materialize(folder_clashes(tidy), "clashes").distinct()
     content = F.col("content").cast("binary").alias("content")
     written = kept.join(clashes, ["bundle", "path"], "left_anti").select("bundle", "path", content)
     written = written.mapInPandas(_writer(out), "bundle string, path string, status string")

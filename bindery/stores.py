@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import sys
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -35,3 +35,11 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     else:
         store, folder = fs.LocalFileSystem(), os.path.abspath(uri)
     return store, folder.rstrip("/")
+
+
+def folder_of(base: str, bundle: str) -> str:
+    """The folder that a bundle's files get under `base`: its quoted name, if it has one."""
+    name = quote(bundle, safe="")
+    if not name.strip("."):
+        name = name.replace(".", "%2E")  # no folder may be `.` or `..`
+    return f"{base}/{name}" if name else base
