@@ -100,7 +100,7 @@ def blank_lines_emptied(text: Column) -> Column:
     return F.regexp_replace(lf_lines(text), rf"(?md)^{BLANK_CLASS}++$", "")
 
 
-def _squeeze_lines(text: Column, max_blank: int) -> Column:
+def squeeze_lines(text: Column, max_blank: int) -> Column:
     """`squeeze` of a text that ends in a line feed.
 
     One pass: a match starts at a blank line and takes its whole run; the
@@ -122,13 +122,13 @@ def squeeze(text: Column, max_blank: int = MAX_BLANK_LINES) -> Column:
     Runs are cut inside one row: a frame begins and ends with a line that is
     not blank, so squeezing each document alone equals squeezing the bundle.
     """
-    return _squeeze_lines(end_with_lf(text), max_blank)
+    return squeeze_lines(end_with_lf(text), max_blank)
 
 
 def canonical_text(content: Column, squeezed: bool = True) -> Column:
     """The body a frame stores: text plus one line feed, squeezed."""
     text = F.concat(render_text(content), F.lit(LF))
-    return _squeeze_lines(text, MAX_BLANK_LINES) if squeezed else text
+    return squeeze_lines(text, MAX_BLANK_LINES) if squeezed else text
 
 
 def restore_text(body: Column) -> Column:

@@ -393,6 +393,8 @@ found as (
 select bundle, path, case when f is null then 'MISSING' when e is null then 'UNSIGNED'
     when f = e then 'OK' else 'MISMATCH' end as status
 from found full outer join expected using (bundle, path)""",
+    "squeeze_chunked": f"""with {FILES}, {BODIES}
+select bundle, path, sha256(body) as sha from bodies""",
     "hash_tree": f"""with {FILES}, {BODIES},
 entries as (
   select sha256(length(bundle)::varchar || ':' || bundle || path) as k, sha256(body) as sha

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bindery import stores
 from bindery.config import PackConfig
 from bindery.functions import frames, globs, integrity, paths, text
-from bindery.operators import admission, catalog, hashtree, packing, prefix, report, unpacking
+from bindery.operators import admission, catalog, chunks, hashtree, packing, prefix, report, unpacking
 from bindery.operators import integrity as checks
 from bindery.scratch import scratch_path
 from bindery.sinks.bundles import write_bundles, write_manifest, write_table
@@ -64,6 +64,15 @@ ADMIT = PackConfig(
 )
 
 
+@query
+def squeeze_chunked(spark, sf_dir):
+    """Texts normalised in chunks that cut characters, line ends and blank runs."""
+    files = corpus(spark, sf_dir).select("bundle", "path", "content")
+    keys = ["bundle", "path"]
+    texts = chunks.squeeze_chunks(chunks.cut_chunks(files, 251, keys), keys)
+    return chunks.join_chunks(texts, keys).select(*keys, sha("text"))
+
+
 # Sources
 
 
