@@ -15,9 +15,9 @@ from tokenizers import Tokenizer
 #: Distinct words a worker remembers, about 200 bytes each.
 REMEMBERED = 300_000
 #: Distinct pieces a worker remembers, about 60 bytes each, and the longest of them in bytes.
-REMEMBERED_PIECES, LONGEST_PIECE = 1_000_000, 64
+REMEMBERED_PIECES, LONGEST_PIECE = 300_000, 64
 #: Text that is encoded at a time.
-STEP_BYTES = 8 * 1024 * 1024
+STEP_BYTES = 3 * 1024 * 1024
 
 #: The steps before the merges for which the shorter way holds.
 NORMALIZER = {
@@ -80,7 +80,7 @@ class Pieces:
         self.limit = limit
         self.known = pa.array([], pa.large_string())
         self.pool = np.zeros(0, "<u4")
-        self.size = self.uses = np.zeros(0, np.int64)
+        self.size = self.uses = np.zeros(0, np.int32)
 
     def find(self, pieces: pa.Array, ids_of) -> tuple[np.ndarray, np.ndarray]:
         """Where in `pool` the ids of each distinct piece begin, and how many they are.
@@ -88,7 +88,7 @@ class Pieces:
         `ids_of` is asked once for all pieces not known.
         """
         at = pc.index_in(pieces, value_set=self.known)
-        which = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
+        which = np.array(pc.fill_null(at, -1))
         unknown = which < 0
         if unknown.any():
             fresh = pieces.filter(pa.array(unknown))
@@ -96,11 +96,11 @@ class Pieces:
             which[unknown] = np.arange(len(self.known), len(self.known) + len(fresh))
             self.known = pa.concat_arrays([self.known, fresh])
             self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
-            size = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+            size = np.fromiter((len(i) // 4 for i in ids), np.int32, len(ids))
             self.size = np.concatenate([self.size, size])
-            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
         self.uses[which] += 1
-        return (np.cumsum(self.size) - self.size)[which], self.size[which]
+        return (np.cumsum(self.size, dtype=np.int32) - self.size)[which], self.size[which]
 
     def forget(self) -> None:
         keep = np.asarray(pc.binary_length(self.known)) <= LONGEST_PIECE
@@ -188,8 +188,11 @@ class WordEncoder:
         pool = self.pieces.pool
         which = np.asarray(pieces.indices)
         count = size[which]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(place[which] - ends[:-1], count) + np.arange(ends[-1])]
+        ends = np.zeros(len(count) + 1, np.int32)  # a step holds far fewer ids
+        np.cumsum(count, out=ends[1:])
+        places = np.repeat(place[which] - ends[:-1], count)
+        places += np.arange(ends[-1], dtype=np.int32)
+        ids = pool[places]
         self.pieces.forget()
         borders = np.asarray(split.offsets).astype(np.int64)
-        return ids, ends[borders - borders[0]]
+        return ids, ends[borders - borders[0]].astype(np.int64)
