@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Distinct words a worker remembers, about 200 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Distinct pieces a worker remembers, about 60 bytes each, and the longest of them in bytes.
-REMEMBERED_PIECES, LONGEST_PIECE = 300_000, 64
+REMEMBERED_PIECES, LONGEST_PIECE = 200_000, 64
 #: Text that is encoded at a time.
 STEP_BYTES = 3 * 1024 * 1024
 
@@ -194,5 +194,6 @@ class WordEncoder:
         places += np.arange(ends[-1], dtype=np.int32)
         ids = pool[places]
         self.pieces.forget()
+        pa.default_memory_pool().release_unused()
         borders = np.asarray(split.offsets).astype(np.int64)
         return ids, ends[borders - borders[0]].astype(np.int64)
