@@ -108,8 +108,19 @@ def matches_any_glob(text: Column, patterns: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-# Lengths of the text fragments a large pattern table is joined on.
+# Lengths of the text fragments a large pattern table is looked up by.
 KEY_WIDTHS = (16, 12, 8, 6, 5, 4, 3, 2, 1)
+FRAGMENT_WIDTHS = (12, 6, 3, 2, 1)
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """The literal texts that every text the glob matches contains."""
+    runs, previous = [], ""
+    for token in _TOKEN.findall(pattern):
+        if token[0] not in "*?[":
+            runs.append(token[1:] if previous == "**" else token)
+        previous = token
+    return [run for run in runs if run]
 
 
 def literal_key(pattern: str) -> str:
@@ -118,10 +129,18 @@ def literal_key(pattern: str) -> str:
     It is the start of the longest literal run, cut to one of `KEY_WIDTHS`; ''
     for a glob without literals.
     """
-    literals, previous = [], ""
-    for token in _TOKEN.findall(pattern):
-        if token[0] not in "*?[":
-            literals.append(token[1:] if previous == "**" else token)
-        previous = token
-    longest = max(literals, key=len, default="")
+    longest = max(literal_runs(pattern), key=len, default="")
     return longest[: next((w for w in KEY_WIDTHS if w <= len(longest)), 0)]
+
+
+def literal_fragments(pattern: str) -> list[str]:
+    """Every fragment of the literal runs, of the greatest of `FRAGMENT_WIDTHS` that one
+    of them holds; none for a glob without literals. A text that the glob matches
+    contains them all.
+    """
+    runs = literal_runs(pattern)
+    longest = max(map(len, runs), default=0)
+    width = next((w for w in FRAGMENT_WIDTHS if w <= longest), None)
+    if width is None:
+        return []
+    return sorted({run[i : i + width] for run in runs for i in range(len(run) - width + 1)})

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.config import PackConfig
 from bindery.functions import globs
+from bindery.operators.patterns import compile_index, keyless_match, matched_keys
 from bindery.operators.prefix import BLOCK_SPAN, block_start, running_total
-from bindery.scratch import materialize
-
-# The glob compiler goes to the tasks that use it with their code, so that it
-# works where the package itself is not installed on the executors.
-cloudpickle.register_pickle_by_value(globs)
 
 # Outcomes, in the order the tests are made.
 UNREADABLE = "UNREADABLE"
@@ -22,9 +16,8 @@ DOT, SKIP, SIZE, NAME, TYPE, CAP, OK = "DOT", "SKIP", "SIZE", "NAME", "TYPE", "C
 # Of arguments and listed names without a file, in the report of a run.
 MISSING = "MISSING"
 
-# A pattern table up to this size becomes one regex; beyond it, a keyed join.
+# A pattern table up to this size becomes one regex; beyond it, an index of fragments.
 INLINE_PATTERNS = 2000
-SALTS = 32
 
 
 def is_dot(base_name: Column) -> Column:
@@ -113,10 +106,11 @@ def skip_by_table(
     """Drop files that match any glob of a one-column pattern table.
 
     A short table (its size is checked, not assumed) becomes one regex, tested
-    where the files are. A longer one is joined on text fragments: every glob
-    with a literal run can only match paths that contain that run. Either way a
-    file without a path matches nothing and stays, and a bad glob raises `GlobError`
-    before any file is read.
+    where the files are. A longer one is looked up by its rarest text fragments
+    (`patterns.matched_keys`), and its globs without any literal text, which have to be
+    tried on every path, are tested where the files are. Either way a file without a
+    path matches nothing and stays, and a bad glob raises `GlobError` before any file
+    is read.
     """
     name = patterns.columns[0]
     distinct = patterns.select(F.col(name).alias("pattern")).na.drop().distinct()
@@ -124,48 +118,9 @@ def skip_by_table(
     if len(short) <= inline_limit:
         matched = matches_skip(F.col("base_name"), F.col("path"), short)
         return files.filter(~F.coalesce(matched, F.lit(False)))
-    skipped = _skipped_keys(files, distinct)
-    return files.join(skipped, ["bundle", "seq"], "left_anti")
-
-
-def _fragments(path: Column, width: int) -> Column:
-    """All runs of `width` characters; one empty text for width 0."""
-    if width == 0:
-        return F.array(F.lit(""))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(path) - width + 1, F.lit(1)))
-    return F.transform(starts, lambda start: F.substr(path, start, F.lit(width)))
-
-
-def _skipped_keys(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    @F.pandas_udf("struct<key: string, regex: string, fault: string>")
-    def compile_globs(pattern: pd.Series) -> pd.DataFrame:
-        rows = []
-        for one in pattern:
-            try:
-                rows.append((globs.literal_key(one), globs.glob_to_regex(one), None))
-            except globs.GlobError as fault:
-                rows.append((None, None, str(fault)))
-        return pd.DataFrame(rows, columns=["key", "regex", "fault"])
-
-    compiled = materialize(
-        patterns.select(compile_globs("pattern").alias("c")).select("c.*"), "globs"
-    )
-    bad = compiled.filter(F.col("fault").isNotNull()).first()
-    if bad:
-        raise globs.GlobError(bad.fault)
-    widths = [r.n for r in compiled.select(F.length("key").alias("n")).distinct().collect()]
-    keys = F.array_distinct(F.concat(*(_fragments(F.col("path"), n) for n in sorted(widths))))
-    # A fragment that very many paths share is spread over `SALTS` tasks.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = compiled.select("key", "regex", salts)
-    return (
-        files.withColumn("salt", F.pmod(F.xxhash64("bundle", "seq"), F.lit(SALTS)).cast("int"))
-        .select("bundle", "seq", "path", "base_name", "salt", F.explode(keys).alias("key"))
-        .join(salted, ["key", "salt"])
-        .filter(F.expr("base_name rlike regex or path rlike regex"))
-        .select("bundle", "seq")
-        .distinct()
-    )
+    index = compile_index(distinct)
+    rest = files.filter(~F.coalesce(keyless_match(index), F.lit(False)))
+    return rest.join(matched_keys(rest, index), ["bundle", "seq"], "left_anti")
 
 
 def cap_limits(

@@ -48,6 +48,12 @@ LETTER_ENDED_SQL = "concat(coalesce(text, ''), chr(233))"
 LABEL_GLOB_SQL = """concat('*d', case when quality = 0 or toxic = 1 then 'o' else 'a' end,
   'c_', doc_id, '.*')"""
 
+# Globs that begin alike, that have no literal text, and that match nothing.
+MIXED_GLOB_SQL = """case when doc_id % 97 = 0 then concat(repeat('?', 9 + cast(doc_id % 7 as int)), '[0-3].?')
+  when quality = 0 or toxic = 1 then concat('*/doc_', doc_id, '.*')
+  when doc_id % 3 = 0 then concat('*doc_', doc_id, '[a-c]?')
+  else concat('*/.cache/*', doc_id, '[!a]md') end"""
+
 # Unique order values, far apart.
 SPARSE_SQL = "seq * 48271 % 2147483647 * 5000"
 

@@ -10,7 +10,7 @@ from bindery.functions.frames import FRAME_OVERHEAD
 from bindery.functions.integrity import HMAC_BLOCK, INNER_PAD, OUTER_PAD
 from bindery.functions.text import BLANK_CLASS, HEAD_BYTES
 from bindery.plans.corpus import (
-    ADMIT_MAX, ADMIT_NAME, BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, LETTER_ENDED_SQL,
+    ADMIT_MAX, ADMIT_NAME, BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, LETTER_ENDED_SQL, MIXED_GLOB_SQL,
     NO_CONTENT_SQL, NO_PATH_SQL, ODD_PATH_SQL, SPARSE_SQL, HEADER_PATH_SQL, HEADER_TEXT_SQL, HMAC_KEY, KEY_TEXT_SQL, NAME_PATTERNS, PATH_SQL, RAW_SQL,
     REPO_TEXT_SQL, SIZE_LIMIT, SKIP_PATTERNS, SMALL_BUDGET, TYPES_TEXT_SQL,
 )
@@ -202,6 +202,10 @@ select seq, path from files where not (base_name glob '*.md' or path glob '*.md'
     "skip_by_long_table": f"""with {FILES}
 select seq, path from files where ext = '' or seq not in (
   select doc_id from labels where quality = 0 or toxic = 1)""",
+    "skip_by_mixed_table": f"""with {FILES}, patterns as (
+  select distinct {MIXED_GLOB_SQL} as pattern from labels)
+select seq, path from files where not exists (
+  select 1 from patterns where path glob pattern or base_name glob pattern)""",
     "size_filter": f"""with {FILES}
 select seq, size from files where size <= {SIZE_LIMIT}""",
     "size_boundary": f"""with {FILES}

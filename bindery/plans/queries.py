@@ -27,7 +27,7 @@ from bindery.plans.corpus import (
     BOUNDARY_BYTES, CAP_PER_BUNDLE, CAP_TOTAL, HEADER_PATH_SQL, HMAC_KEY, NAME_PATTERNS,
     PATH_SQL, RAW_SQL, REPO_TEXT_SQL, SIZE_LIMIT, SKIP_PATTERNS, SMALL_BUDGET, TYPES,
     TYPES_TEXT_SQL, HEADER_TEXT_SQL, LETTER_ENDED_SQL, KEY_TEXT_SQL, ADMIT_MAX, ADMIT_NAME,
-    EXTRACT_PATH_SQL, LABEL_GLOB_SQL, ODD_PATH_SQL, SPARSE_SQL, NO_CONTENT_SQL, NO_PATH_SQL,
+    EXTRACT_PATH_SQL, LABEL_GLOB_SQL, MIXED_GLOB_SQL, ODD_PATH_SQL, SPARSE_SQL, NO_CONTENT_SQL, NO_PATH_SQL,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,6 +240,14 @@ def skip_by_long_table(spark, sf_dir):
     return admission.skip_by_table(files, patterns, inline_limit=10).select("seq", "path")
 
 
+@query
+def skip_by_mixed_table(spark, sf_dir):
+    """One glob per label: long shared beginnings, no literal text, or no match at all."""
+    patterns = table(spark, sf_dir, "labels").select(F.expr(MIXED_GLOB_SQL).alias("pattern"))
+    files = corpus(spark, sf_dir).select("bundle", "seq", "path", "base_name")
+    return admission.skip_by_table(files, patterns, inline_limit=10).select("seq", "path")
+
+
 @query
 def size_filter(spark, sf_dir):
     files = corpus(spark, sf_dir)
