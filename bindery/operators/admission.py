@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from bindery.config import PackConfig
 from bindery.functions import globs
 from bindery.operators.patterns import compile_index, keyless_match, matched_keys
-from bindery.operators.prefix import BLOCK_SPAN, block_start, running_total
+from bindery.operators.prefix import running_total
+from bindery.scratch import materialize
 
 # Outcomes, in the order the tests are made.
 UNREADABLE = "UNREADABLE"
@@ -18,6 +19,8 @@ MISSING = "MISSING"
 
 # A pattern table up to this size becomes one regex; beyond it, an index of fragments.
 INLINE_PATTERNS = 2000
+# A bundle with more files is spread where limits are joined.
+HOT_FILES = 1_000_000
 
 
 def is_dot(base_name: Column) -> Column:
@@ -123,43 +126,66 @@ def skip_by_table(
     return rest.join(matched_keys(rest, index), ["bundle", "seq"], "left_anti")
 
 
-def cap_limits(
-    files: DataFrame, n: int, groups: list[str], span: int = BLOCK_SPAN
-) -> DataFrame:
-    """Last `seq` inside the cap, for each block that has one.
+def cap_limits(files: DataFrame, n: int, groups: list[str]) -> DataFrame:
+    """`*groups, files, last` of each group with more than `n` files: its files, and the
+    `seq` of the last one inside the cap (null where the cap is 0).
 
     Reads only the order columns. Ranks come from counts of ranges, so that no
     task ever sorts a whole bundle.
     """
     ranked = running_total(files.select(*groups, "seq"), groups, "seq", F.lit(1), "rank")
     return (
-        ranked.filter(F.col("rank") <= n)
-        .groupBy(*groups, block_start(F.col("seq"), span).alias("_block"))
-        .agg(F.max("seq").alias("_last"))
+        ranked.groupBy(*groups)
+        .agg(
+            F.count(F.lit(1)).alias("files"),
+            F.max(F.when(F.col("rank") <= n, F.col("seq"))).alias("last"),
+        )
+        .filter(F.col("files") > n)
     )
 
 
-def _with_limits(
-    files: DataFrame, limits: DataFrame, groups: list[str], how: str, span: int
-) -> DataFrame:
-    """Join by block rather than by bundle, whose rows may be a third of all."""
-    blocked = files.withColumn("_block", block_start(F.col("seq"), span))
-    return blocked.join(limits, [*groups, "_block"], how).drop("_block")
+def _inside(limited: Column, last: Column) -> Column:
+    """Whether a row without a limit, or one up to the last inside, is within the cap."""
+    return ~limited | F.coalesce(F.coalesce("seq", F.lit(0)) <= last, F.lit(False))
 
 
 def file_cap(
-    files: DataFrame, n: int, per_bundle: bool = True, span: int = BLOCK_SPAN
+    files: DataFrame, n: int, per_bundle: bool = True, span: int = HOT_FILES
 ) -> DataFrame:
-    """First `n` files by `seq`, of each bundle or of all."""
-    groups = ["bundle"] if per_bundle else []
-    joined = _with_limits(files, cap_limits(files, n, groups, span), groups, "inner", span)
-    return joined.filter(F.col("seq") <= F.col("_last")).select(*files.columns)
+    """First `n` files by `seq`, of each bundle or of all.
+
+    Limits of bundles with more than `span` files are broadcast: there is at most one for
+    each `span` files of the input. Rows of such bundles are spread in the join with the
+    other limits, so that no key brings more than `span` rows to a task.
+    """
+    if not per_bundle:
+        return files.filter(_inside(*_limit_of_all(files, n)))
+    limits = materialize(cap_limits(files, n, ["bundle"]), "limits")
+    last = F.struct("last").alias("_hot")
+    hot = limits.filter(F.col("files") > span).select("bundle", last)
+    few = limits.filter(F.col("files") <= span).select(
+        "bundle", F.lit(0).cast("long").alias("_salt"), F.struct("last").alias("_few")
+    )
+    salt = F.when(F.col("_hot").isNotNull(), F.xxhash64("seq")).otherwise(F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        rows = files.join(F.broadcast(hot), "bundle", "left").withColumn("_salt", salt)
+    else:
+        rows = files.withColumn("_hot", F.lit(None).cast("struct<last: long>"))
+        rows = rows.withColumn("_salt", F.lit(0).cast("long"))
+    joined = rows.join(few, ["bundle", "_salt"], "left")
+    limit = F.coalesce("_hot", "_few")
+    return joined.filter(_inside(limit.isNotNull(), limit["last"])).select(*files.columns)
+
+
+def _limit_of_all(files: DataFrame, n: int) -> tuple[Column, Column]:
+    """Whether there are more than `n` files, and the last `seq` inside, as single values."""
+    limits = materialize(cap_limits(files, n, []), "limits")
+    one = limits.agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last"))
+    return one.select("n").scalar() > 0, one.select("last").scalar()
 
 
-def mark_cap(reasoned: DataFrame, n: int, span: int = BLOCK_SPAN) -> DataFrame:
+def mark_cap(reasoned: DataFrame, n: int) -> DataFrame:
     """Relabel admitted files after the first `n` (by `seq`, over all) as CAP."""
-    limits = cap_limits(reasoned.filter(F.col("reason") == OK), n, [], span)
-    inside = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False))
+    inside = _inside(*_limit_of_all(reasoned.filter(F.col("reason") == OK), n))
     reason = F.when((F.col("reason") == OK) & ~inside, F.lit(CAP)).otherwise(F.col("reason"))
-    joined = _with_limits(reasoned, limits, [], "left", span)
-    return joined.withColumn("reason", reason).select(*reasoned.columns)
+    return reasoned.withColumn("reason", reason)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.config import ROW_SHARD_BYTES
 from bindery.functions import frames, integrity, text
-from bindery.operators.prefix import BLOCK_SPAN, block_start, running_total
+from bindery.operators.prefix import as_of, running_total
+from bindery.scratch import materialize
+
+# Shard starts on one page, so that its key brings no more than 1 GiB to a task, and the
+# most pages after the first of bundles, of all together.
+PAGE_SHARDS = 8
+DIRECTORY_ENTRIES = 1 << 18
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -62,30 +68,48 @@ def shard_plan(
     return total.select("bundle", "seq", F.expr(f"_end_before div {int(budget)}").alias("shard"))
 
 
-def shard_cuts(plan: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
-    """Shard plan in short form: per block of `seq`, where each shard starts."""
-    block = block_start(F.col("seq"), span).alias("_block")
-    starts = plan.groupBy("bundle", block, "shard").agg(F.min("seq").alias("start"))
-    cuts = F.sort_array(F.collect_list(F.struct("start", "shard"))).alias("_cuts")
-    return starts.groupBy("bundle", "_block").agg(cuts)
+def shard_pages(plan: DataFrame, span: int) -> DataFrame:
+    """`bundle, page, cuts`: the shards of a plan in short form, one entry for each shard
+    (`start`, its least `seq`, and `shard`), `span` of them on a page; written."""
+    starts = plan.groupBy("bundle", "shard").agg(F.min("seq").alias("start"))
+    rank = F.row_number().over(Window.partitionBy("bundle").orderBy("start", "shard"))
+    paged = starts.withColumn("page", F.floor((rank - 1) / span).cast("int"))
+    cuts = F.sort_array(F.collect_list(F.struct("start", "shard"))).alias("cuts")
+    return materialize(paged.groupBy("bundle", "page").agg(cuts), "pages")
 
 
 def assign_shards(
-    rows: DataFrame, files: DataFrame, budget: int = ROW_SHARD_BYTES, span: int = BLOCK_SPAN
+    rows: DataFrame,
+    files: DataFrame,
+    budget: int = ROW_SHARD_BYTES,
+    span: int = PAGE_SHARDS,
+    entries: int = DIRECTORY_ENTRIES,
 ) -> DataFrame:
     """Add `shard` to content rows, planned from the catalog columns of `files`
     (`bundle, seq, path, size`), which may come from a source without content.
 
-    The join side has one row per block, not per file: Spark broadcasts it
-    where its measured size allows, and the content then stays where it is.
+    A row belongs to the last shard that starts at or before it, whatever the gaps
+    between order values. It finds its page of `span` starts by the first starts of its
+    bundle's pages, which are broadcast where there are several: `entries` pages beyond
+    the first ones, or pages are made longer. So the join by page brings no more than `span` shards to one key; Spark
+    broadcasts the pages too where their measured size allows, and the content then
+    stays where it is.
     """
-    cuts = shard_cuts(shard_plan(files, budget), span)
-    last = F.expr("element_at(filter(_cuts, c -> c.start <= seq), -1).shard")
+    plan = shard_plan(files, budget)
+    pages = shard_pages(plan, span)
+    held = pages.filter("page > 0").count()
+    if held > entries:
+        pages = shard_pages(plan, span * -(-held // entries))
+    firsts = F.sort_array(F.collect_list(F.get("cuts", F.lit(0))["start"])).alias("_firsts")
+    directory = pages.groupBy("bundle").agg(firsts).filter(F.size("_firsts") > 1)
+    page = F.when(F.col("_firsts").isNull(), F.lit(0)).otherwise(as_of("_firsts", "seq"))
     return (
-        rows.withColumn("_block", block_start(F.col("seq"), span))
-        .join(cuts, ["bundle", "_block"])
-        .withColumn("shard", last)
-        .drop("_block", "_cuts")
+        rows.join(F.broadcast(directory), "bundle", "left")
+        .withColumn("_page", page)
+        .join(pages.toDF("bundle", "_page", "_cuts"), ["bundle", "_page"])
+        .withColumn("_starts", F.col("_cuts.start"))
+        .withColumn("shard", F.get("_cuts.shard", as_of("_starts", "seq")))
+        .drop("_page", "_firsts", "_cuts", "_starts")
     )
 
 

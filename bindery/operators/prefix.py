@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from bindery.scratch import materialize
 
-BLOCK_SPAN = 4096
 
-
-def block_start(order: Column, span: int = BLOCK_SPAN) -> Column:
-    """Start of the fixed-width block of the order value."""
-    return F.coalesce(order - F.pmod(order, F.lit(span)), F.lit(0))
+def as_of(sorted_values: str, value: str) -> Column:
+    """Place of the last entry of a sorted array column that is not above `value`, by
+    halving; -1 where there is none. A null value counts as 0."""
+    middle = "cast((a.low + a.high) div 2 as int)"
+    return F.expr(
+        f"""aggregate(
+          sequence(0, cast(ceil(log2(size({sorted_values}) + 1)) as int)),
+          named_struct('low', 0, 'high', size({sorted_values})),
+          (a, step) -> if(a.low >= a.high, a,
+            if({sorted_values}[{middle}] <= coalesce({value}, 0),
+              named_struct('low', {middle} + 1, 'high', a.high),
+              named_struct('low', a.low, 'high', {middle}))),
+          a -> a.low - 1)"""
+    )
 
 
 def running_total(
