@@ -240,6 +240,9 @@ qualify row_number() over (partition by bundle order by {SPARSE_SQL}) <= {CAP_PE
   select seq, case when {NO_PATH_SQL} or {NO_CONTENT_SQL} then 'UNREADABLE' else {_ADMIT} end
     as reason from (select *, seq as doc_id from files))
 select seq, reason, reason = 'OK' as admitted from reasoned""",
+    "admission_stored_sizes": f"""with {FILES}
+select seq, case when {NO_CONTENT_SQL} then 'UNREADABLE' else {_ADMIT} end as reason
+from (select *, seq as doc_id from files)""",
     "pack_nulls": f"""with {FILES}, {FRAMES}, held as (
   select bundle, strlen(frame) as n from (select *, seq as doc_id from frames)
   where not ({NO_PATH_SQL}) and not ({NO_CONTENT_SQL}))
@@ -443,4 +446,11 @@ select bundle, count(*) filter (admitted) as processed, 0::bigint as failed,
   count(*) filter (not admitted) as skipped, count(*) filter (admitted and is_binary) as binary,
   coalesce(sum(size) filter (admitted), 0)::bigint as bytes
 from reasoned group by bundle""",
+    "run_summary_reads": f"""with {FILES}, {BODIES}, tested as (
+  select *, size <= {ADMIT_MAX} as admitted, starts_with(base_name, '.') as gone from bodies)
+select bundle, count(*) filter (admitted and not gone) as processed,
+  count(*) filter (admitted and gone) as failed, count(*) filter (not admitted) as skipped,
+  count(*) filter (admitted and not gone and is_binary) as binary,
+  coalesce(sum(size) filter (admitted and not gone), 0)::bigint as bytes
+from tested group by bundle""",
 }

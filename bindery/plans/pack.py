@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.config import PackConfig
@@ -45,16 +45,22 @@ def _write(
     return counters
 
 
-def _report(files: DataFrame, cfg: PackConfig, out: str, missing: int = 0) -> None:
+def _report(
+    files: DataFrame, cfg: PackConfig, out: str, missing: int = 0, unread: tuple[int, int] = (0, 0)
+) -> None:
     """`reason, files, bytes` under `out/report`, from catalog columns alone; `missing`
-    counts arguments and listed names without a file."""
+    counts arguments and listed names without a file, and `unread` files and bytes that
+    were admitted but could not be read."""
     counts = admission.admission_counts(admission.with_reason(files, cfg))
-    if missing:
-        lost = files.sparkSession.createDataFrame(
-            [(admission.MISSING, missing, 0)], "reason string, files long, bytes long"
+    known = [(admission.MISSING, missing, 0)] if missing else []
+    if unread[0]:
+        known += [(admission.OK, -unread[0], -unread[1]), (admission.UNREADABLE, *unread)]
+    if known:
+        more = files.sparkSession.createDataFrame(known, "reason string, files long, bytes long")
+        counts = counts.unionByName(more).groupBy("reason").agg(
+            F.sum("files").alias("files"), F.sum("bytes").alias("bytes")
         )
-        counts = counts.unionByName(lost)
-    counts.coalesce(1).write.mode("overwrite").parquet(f"{out}/report")
+    counts.filter("files > 0").coalesce(1).write.mode("overwrite").parquet(f"{out}/report")
 
 
 def pack_files(files: DataFrame, cfg: PackConfig, out: str) -> dict[str, int]:
@@ -74,9 +80,26 @@ def _pack_catalog(
     admitted = materialize(admission.admit(listed, cfg), "admitted")
     if admitted.isEmpty():
         raise NoInputError("no file matched the criteria")
-    read = read_content(admitted).filter(~F.col("failed"))
-    counters = _write(read, cfg, out, listed=admitted)
-    return {**counters, "failed": admitted.count() - counters["files"]}
+    watch = Observation()
+    unread = F.col("failed")
+    read = read_content(admitted).observe(
+        watch, F.count_if(unread).alias("files"), F.sum(F.when(unread, F.col("size"))).alias("bytes")
+    )
+    try:
+        counters = _write(read.filter(~unread), cfg, out, listed=admitted)
+        written = counters["files"]
+    except NoInputError:
+        written = 0
+    failed = admitted.count() - written
+    if failed:
+        seen = watch.get
+        if seen["files"] != failed:  # a lost executor's tasks were counted twice
+            lost = read_content(admitted).filter(unread)
+            seen = {"bytes": lost.agg(F.sum("size")).first()[0]}
+        _report(listed, cfg, out, missing, (failed, seen["bytes"] or 0))
+    if not written:
+        raise NoInputError("no file could be read")
+    return {**counters, "failed": failed}
 
 
 def pack_paths(

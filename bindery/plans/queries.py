@@ -337,6 +337,20 @@ def admission_nulls(spark, sf_dir):
     )
 
 
+@query
+def admission_stored_sizes(spark, sf_dir):
+    """Reasons where the table stores a size for rows without content too."""
+    files = files_from_table(
+        table(spark, sf_dir, "documents"),
+        path=F.expr(PATH_SQL),
+        content=F.expr(f"case when {NO_CONTENT_SQL} then null else {RAW_SQL} end"),
+        seq=F.col("doc_id"),
+        bundle=F.col("source"),
+        size=F.octet_length(F.expr(RAW_SQL)),
+    )
+    return admission.with_reason(files, ADMIT).select("seq", "reason")
+
+
 @query
 def pack_nulls(spark, sf_dir):
     """Files and bytes packed of a corpus with null paths and contents."""
@@ -787,3 +801,16 @@ def digest_text(spark, sf_dir):
 def run_summary(spark, sf_dir):
     reasoned = admission.with_reason(packing.classify(corpus(spark, sf_dir)), ADMIT)
     return report.run_summary(reasoned)
+
+
+@query
+def run_summary_reads(spark, sf_dir):
+    """Counts of a run over real files, of which those with a dot name are gone."""
+    out, files = scratch_path(spark, "partly"), corpus(spark, sf_dir)
+    visible = files.filter(~admission.is_dot(F.col("base_name")))
+    extract_files(visible.select("bundle", "seq", "path", "content"), out)
+    named = F.concat_ws("/", F.lit(stores.local_path(out)), "bundle", "path")
+    listed = files.select("bundle", "seq", "base_name", "ext", "size", named.alias("path"))
+    cfg = PackConfig(include_hidden=True, max_bytes=ADMIT_MAX)
+    reasoned = admission.with_reason(listed, cfg)
+    return report.run_summary(packing.classify(read_content(reasoned)))

@@ -15,18 +15,24 @@ def files_from_table(
     seq: Column,
     bundle: Column | None = None,
     size: Column | None = None,
+    complete: bool = False,
 ) -> DataFrame:
     """`seq, bundle, path, base_name, ext, size, content` from table columns.
 
-    Give `size` where the table stores it: plans that need only sizes then
-    leave the content column unread.
+    Give `size` where the table stores it. A row without content has no size, whatever
+    is stored; `complete` promises that there is no such row, and plans that need only
+    sizes then leave the content column unread.
     """
     body = content.cast("binary")
+    if size is None:
+        size = F.octet_length(body)
+    elif not complete:
+        size = F.when(body.isNotNull(), size)
     files = table.select(
         seq.cast("long").alias("seq"),
         F.coalesce(F.lit("") if bundle is None else bundle, F.lit("")).alias("bundle"),
         path.alias("path"),
-        (F.octet_length(body) if size is None else size).cast("long").alias("size"),
+        size.cast("long").alias("size"),
         body.alias("content"),
     )
     return with_path_parts(files).select(
