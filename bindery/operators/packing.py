@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from bindery.config import ROW_SHARD_BYTES
 from bindery.functions import frames, integrity, text
-from bindery.operators.prefix import as_of, running_total
+from bindery.operators.prefix import as_of, running_total, stacked
 from bindery.scratch import materialize
+from bindery.sizing import TASK_BYTES, task_count
 
 # Shard starts on one page, so that its key brings no more than 1 GiB to a task, and the
 # most pages after the first of bundles, of all together.
@@ -51,6 +52,18 @@ def pack_weight() -> Column:
     return F.col("size") + F.octet_length("path") + frames.FRAME_OVERHEAD
 
 
+def _placed(files: DataFrame, weight: Column | None = None) -> DataFrame:
+    """`bundle, seq, _end, _end_before`: where in its bundle each file lies, in bytes."""
+    slim = files.select(
+        "bundle", "seq", (pack_weight() if weight is None else weight).alias("_weight")
+    )
+    return running_total(slim, ["bundle"], "seq", F.col("_weight"), "_end")
+
+
+def _shards(placed: DataFrame, budget: int) -> DataFrame:
+    return placed.select("bundle", "seq", F.expr(f"_end_before div {int(budget)}").alias("shard"))
+
+
 def shard_plan(
     files: DataFrame,
     budget: int = ROW_SHARD_BYTES,
@@ -61,23 +74,69 @@ def shard_plan(
     Works on catalog columns only. A shard holds at most the budget and the
     part of its last file that runs over.
     """
-    slim = files.select(
-        "bundle", "seq", (pack_weight() if weight is None else weight).alias("_weight")
-    )
-    total = running_total(slim, ["bundle"], "seq", F.col("_weight"), "_end")
-    return total.select("bundle", "seq", F.expr(f"_end_before div {int(budget)}").alias("shard"))
+    return _shards(_placed(files, weight), budget)
+
+
+def task_plan(placed: DataFrame, budget: int, task_bytes: int) -> tuple[Column, DataFrame, int]:
+    """The task of a `shard`, the table of `bundle, _base` it needs, and how many tasks.
+
+    Bundles are laid end to end in name order. A shard begins at its bundle's base and
+    `shard` budgets more, and goes to the task within whose stretch of bytes it begins. So
+    tasks hold even bytes, up to one shard more, be bundles many and small or one and hot.
+    """
+    totals = placed.groupBy("bundle").agg(F.max("_end").alias("_bytes"))
+    bases = stacked(totals, "bundle", "_bytes", "_base")
+    held = bases.agg(F.max(F.col("_base") + F.col("_bytes"))).first()[0] or 0
+    width = task_count(placed.sparkSession)
+    step = max(1, min(task_bytes, -(-held // width)))
+    task = F.expr(f"cast((_base + shard * {int(budget)}) div {step} as int)")
+    return task, bases.select("bundle", "_base"), held // step + 1
 
 
-def shard_pages(plan: DataFrame, span: int) -> DataFrame:
+def shard_pages(
+    plan: DataFrame, span: int, task: Column | None = None, bases: DataFrame | None = None
+) -> DataFrame:
     """`bundle, page, cuts`: the shards of a plan in short form, one entry for each shard
-    (`start`, its least `seq`, and `shard`), `span` of them on a page; written."""
+    (`start`, its least `seq`, `shard` and, where planned, `task`), `span` of them on a
+    page; written."""
     starts = plan.groupBy("bundle", "shard").agg(F.min("seq").alias("start"))
+    entry = ["start", "shard"]
+    if task is not None:
+        starts = starts.join(bases, "bundle").withColumn("task", task)
+        entry.append("task")
     rank = F.row_number().over(Window.partitionBy("bundle").orderBy("start", "shard"))
     paged = starts.withColumn("page", F.floor((rank - 1) / span).cast("int"))
-    cuts = F.sort_array(F.collect_list(F.struct("start", "shard"))).alias("cuts")
+    cuts = F.sort_array(F.collect_list(F.struct(*entry))).alias("cuts")
     return materialize(paged.groupBy("bundle", "page").agg(cuts), "pages")
 
 
+def _assign(
+    rows: DataFrame,
+    plan: DataFrame,
+    span: int,
+    entries: int,
+    task: Column | None = None,
+    bases: DataFrame | None = None,
+) -> DataFrame:
+    pages = shard_pages(plan, span, task, bases)
+    held = pages.filter("page > 0").count()
+    if held > entries:
+        pages = shard_pages(plan, span * -(-held // entries), task, bases)
+    firsts = F.sort_array(F.collect_list(F.get("cuts", F.lit(0))["start"])).alias("_firsts")
+    directory = pages.groupBy("bundle").agg(firsts).filter(F.size("_firsts") > 1)
+    page = F.when(F.col("_firsts").isNull(), F.lit(0)).otherwise(as_of("_firsts", "seq"))
+    found = (
+        rows.join(F.broadcast(directory), "bundle", "left")
+        .withColumn("_page", page)
+        .join(pages.toDF("bundle", "_page", "_cuts"), ["bundle", "_page"])
+        .withColumn("_starts", F.col("_cuts.start"))
+        .withColumn("shard", F.get("_cuts.shard", as_of("_starts", "seq")))
+    )
+    if task is not None:
+        found = found.withColumn("task", F.get("_cuts.task", as_of("_starts", "seq")))
+    return found.drop("_page", "_firsts", "_cuts", "_starts")
+
+
 def assign_shards(
     rows: DataFrame,
     files: DataFrame,
@@ -95,22 +154,23 @@ def assign_shards(
     broadcasts the pages too where their measured size allows, and the content then
     stays where it is.
     """
-    plan = shard_plan(files, budget)
-    pages = shard_pages(plan, span)
-    held = pages.filter("page > 0").count()
-    if held > entries:
-        pages = shard_pages(plan, span * -(-held // entries))
-    firsts = F.sort_array(F.collect_list(F.get("cuts", F.lit(0))["start"])).alias("_firsts")
-    directory = pages.groupBy("bundle").agg(firsts).filter(F.size("_firsts") > 1)
-    page = F.when(F.col("_firsts").isNull(), F.lit(0)).otherwise(as_of("_firsts", "seq"))
-    return (
-        rows.join(F.broadcast(directory), "bundle", "left")
-        .withColumn("_page", page)
-        .join(pages.toDF("bundle", "_page", "_cuts"), ["bundle", "_page"])
-        .withColumn("_starts", F.col("_cuts.start"))
-        .withColumn("shard", F.get("_cuts.shard", as_of("_starts", "seq")))
-        .drop("_page", "_firsts", "_cuts", "_starts")
-    )
+    return _assign(rows, shard_plan(files, budget), span, entries)
+
+
+def assign_tasks(
+    rows: DataFrame,
+    files: DataFrame,
+    budget: int = ROW_SHARD_BYTES,
+    task_bytes: int = TASK_BYTES,
+    span: int = PAGE_SHARDS,
+    entries: int = DIRECTORY_ENTRIES,
+) -> tuple[DataFrame, int]:
+    """Add `shard`, as `assign_shards` does, and `task`, which will write it; returns the
+    number of tasks too. Tasks hold `task_bytes` each, less where there would be fewer
+    than the session's shuffle width. An empty catalog has one task."""
+    placed = _placed(files)
+    task, bases, tasks = task_plan(placed, budget, task_bytes)
+    return _assign(rows, _shards(placed, budget), span, entries, task, bases), tasks
 
 
 def concat_shards(rendered: DataFrame) -> DataFrame:

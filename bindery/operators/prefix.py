@@ -63,3 +63,25 @@ def running_total(
         .withColumn(f"{out}_before", F.col(out) - F.col("_value"))
         .drop("_part", "_value", "_partial", *offsets.columns)
     )
+
+
+def stacked(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add `out`, the sum of `value` over all rows of smaller `key`, which is unique.
+
+    Rows are dealt by ranges of the key and written; one window sees the ranges' sums,
+    as many as there are partitions.
+    """
+    dealt = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    rows = materialize(dealt, "stacked")
+    unbounded = (Window.unboundedPreceding, -1)
+    before = F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(*unbounded))
+    sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(*unbounded)
+    earlier = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return (
+        rows.withColumn("_earlier", earlier)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(out, F.col("_earlier") + F.col("_offset"))
+        .select(*df.columns, out)
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bindery.config import PackConfig
 from bindery.operators import admission, integrity, packing
 from bindery.scratch import materialize
-from bindery.sinks.bundles import write_bundles, write_manifest
+from bindery.sinks.bundles import write_manifest, write_planned
 from bindery.sources.content import read_content
 from bindery.sources.walk import catalog, catalog_manifest, catalog_paths
 
@@ -19,16 +19,17 @@ class NoInputError(ValueError):
     """No file passed the admission rules."""
 
 
-def sharded_frames(
+def planned_frames(
     files: DataFrame, cfg: PackConfig, listed: DataFrame | None = None
-) -> DataFrame:
-    """`bundle, shard, seq, path, frame, …` of admitted files with content.
+) -> tuple[DataFrame, int]:
+    """`bundle, shard, task, seq, path, frame, …` of admitted files with content, and the
+    number of tasks.
 
     `listed` is the same set of files from a source without content, where
-    there is one: shards are planned from it, and content is read once.
+    there is one: shards and tasks are planned from it, and content is read once.
     """
     rendered = packing.render(files, cfg.squeeze, cfg.signed, cfg.key)
-    return packing.assign_shards(rendered, files if listed is None else listed, cfg.shard_bytes)
+    return packing.assign_tasks(rendered, files if listed is None else listed, cfg.shard_bytes)
 
 
 def _write(
@@ -36,7 +37,7 @@ def _write(
 ) -> dict[str, int]:
     """Bundles under `out/bundles`; for signed runs the manifest under
     `out/manifest`."""
-    counters = write_bundles(sharded_frames(admitted, cfg, listed), f"{out}/bundles")
+    counters = write_planned(*planned_frames(admitted, cfg, listed), f"{out}/bundles")
     if not counters["files"]:
         raise NoInputError("no file matched the criteria")
     if cfg.signed:

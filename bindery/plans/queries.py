@@ -16,7 +16,7 @@ from bindery.functions import frames, globs, integrity, paths, text
 from bindery.operators import admission, catalog, chunks, hashtree, packing, prefix, report, unpacking
 from bindery.operators import integrity as checks
 from bindery.scratch import scratch_path
-from bindery.sinks.bundles import write_bundles, write_manifest, write_table
+from bindery.sinks.bundles import write_manifest, write_planned, write_table
 from bindery.sinks.files import extract_files, extract_status, split_safe
 from bindery.sinks.staged import extract_commit as staged_extraction
 from bindery.sources.bundles import read_bundles
@@ -522,10 +522,9 @@ def restore_text(spark, sf_dir):
 
 @query
 def bundle_files(spark, sf_dir):
-    """Bundles written as text files in small shards, read back and restored."""
+    """Bundles of small shards written by planned tasks, read back and restored."""
     files, out = corpus(spark, sf_dir), scratch_path(spark, "bundles")
-    rendered = packing.assign_shards(packing.render(files), files, SMALL_BUDGET)
-    write_bundles(rendered, out)
+    write_planned(*packing.assign_tasks(packing.render(files), files, SMALL_BUDGET), out)
     restored = unpacking.restore(read_bundles(spark, out))
     return restored.select("bundle", "path", sha("content"))
 

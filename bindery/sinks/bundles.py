@@ -39,6 +39,32 @@ def write_bundles(
     return report.counters(watch)
 
 
+def write_planned(
+    placed: DataFrame, tasks: int, out: str, mode: str = "errorifexists"
+) -> dict[str, int]:
+    """Write `bundle, shard, task, seq, frame` rows as `bundle=…/part-…` text files.
+
+    One shuffle, straight to the planned task, of `tasks`. A task writes one file for
+    each bundle it holds, of as many shards as are there, so files are no more than
+    tasks and bundles together, however small the shards. A bundle's files, joined in the
+    order of their part numbers, are its packed text. Returns counts as `write_bundles`.
+    """
+    extra = [c for c in placed.columns if c == "is_binary"]
+    rows = placed.select(
+        "bundle",
+        "shard",
+        "task",
+        "seq",
+        text.without_final_lf(F.col("frame")).alias("value"),  # the writer adds it again
+        *extra,
+    )
+    dealt = rows.repartitionById(tasks, "task").drop("task")
+    counted, watch = report.observed(dealt, F.octet_length("value") + 1)
+    ordered = counted.sortWithinPartitions("bundle", "shard", "seq").drop("shard", "seq", *extra)
+    ordered.write.mode(mode).partitionBy("bundle").text(out)
+    return report.counters(watch)
+
+
 def write_table(rows: DataFrame, out: str, mode: str = "errorifexists") -> None:
     """Parquet form of frames or manifests; needs no markers in the text."""
     rows.write.mode(mode).parquet(out)

@@ -15,18 +15,23 @@ def read_bundles(
     """`bundle, pos, path, signature, kind, body` from bundle files.
 
     The frame break is the record separator, so a large file is read by many
-    tasks. `bundle` comes from the folders that `write_bundles` makes; without
-    them (`foldered=False`) each file is its own bundle. `pos` orders the
-    frames of a bundle.
+    tasks. `bundle` comes from the folders that `write_planned` and `write_bundles` make;
+    without them (`foldered=False`) each file is its own bundle. `pos` orders the
+    frames of a bundle: by the shard's folder, if there are any, and the file's part
+    number, which outgrows its five digits in large runs.
     """
     reader = spark.read.option("lineSep", frames.FRAME_BREAK)
     if foldered:
         # Typed here, so that a bundle called 007 keeps its zeros.
-        reader = reader.schema("value string, bundle string, shard string")
-        bundle, shard = F.col("bundle"), F.col("shard")
+        lines = reader.schema("value string, bundle string").text(path)
+        folder = F.col("shard") if "shard" in lines.columns else F.lit(0)
+        part = F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).try_cast("long")
+        bundle = F.col("bundle")
+        shard = F.struct(folder.cast("long").alias("folder"), part.alias("part"))
     else:
-        bundle, shard = F.col("_metadata.file_path"), F.lit("")
-    lines = reader.text(path)
+        lines = reader.text(path)
+        bundle = F.col("_metadata.file_path")
+        shard = F.struct(F.lit(0).cast("long").alias("folder"), F.lit(0).cast("long").alias("part"))
     first = (F.col("start") == 0) & F.startswith(F.col("value"), F.lit(frames.HEADER_PREFIX))
     start_cut = F.substr(F.col("value"), F.lit(len(frames.HEADER_PREFIX) + 1))
     records = lines.select(

@@ -7,8 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from bindery.config import PackConfig
 from bindery.operators import admission
-from bindery.plans.pack import sharded_frames
-from bindery.sinks.bundles import write_bundles
+from bindery.plans.pack import planned_frames
+from bindery.sinks.bundles import write_planned
 
 
 def pack_stream(
@@ -25,7 +25,7 @@ def pack_stream(
     admitted = admission.admit(files, cfg)
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        write_bundles(sharded_frames(batch, cfg), f"{out}/batch={number}", mode="overwrite")
+        write_planned(*planned_frames(batch, cfg), f"{out}/batch={number}", mode="overwrite")
 
     writer = admitted.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
