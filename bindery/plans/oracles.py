@@ -305,6 +305,10 @@ select bundle, path, kind, sha256(coalesce(body, '')) as sha from unpacked""",
 select bundle, path, sha256({_restored('body')}) as sha from unpacked where kind = 'text'""",
     "bundle_files": f"""with {FILES}, {FRAMES}, {UNPACKED}
 select bundle, path, sha256({_restored('body')}) as sha from unpacked where kind = 'text'""",
+    "unpack_some": f"""with {FILES}, {FRAMES}, {UNPACKED}
+select bundle, path, kind, sha256(coalesce(body, '')) as sha from unpacked
+where regexp_extract(path, 'doc_(\\d+)', 1)::bigint in (
+  select doc_id from labels where quality = 0 or toxic = 1)""",
     "frame_table": f"""with {FILES}, {FRAMES}
 select bundle, seq, path, is_binary, sha256(frame) as sha from frames""",
     "extract_counts": f"""with {FILES}, {FRAMES}, {UNPACKED}

@@ -20,6 +20,7 @@ from bindery.sinks.bundles import write_manifest, write_planned, write_table
 from bindery.sinks.files import extract_files, extract_status, split_safe
 from bindery.sinks.staged import extract_commit as staged_extraction
 from bindery.sources.bundles import read_bundles
+from bindery.sources.frame_index import index_frames, read_frames
 from bindery.sources.content import read_binary_files, read_content
 from bindery.sources.tables import files_from_table
 from bindery.sources.walk import catalog_paths, catalog_walk
@@ -529,6 +530,18 @@ def bundle_files(spark, sf_dir):
     return restored.select("bundle", "path", sha("content"))
 
 
+@query
+def unpack_some(spark, sf_dir):
+    """The frames of bad documents alone, sought out in bundle files by their index."""
+    files, out = corpus(spark, sf_dir), scratch_path(spark, "bundles")
+    write_planned(*packing.assign_tasks(packing.render(files), files, SMALL_BUDGET), out)
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    bad = table(spark, sf_dir, "labels").where("quality = 0 or toxic = 1").select("doc_id").distinct()
+    listed = index_frames(spark, out).withColumn("doc_id", number).join(bad, "doc_id", "left_semi")
+    some = read_frames(listed)
+    return some.select("bundle", "path", "kind", sha(F.coalesce("body", F.lit(""))))
+
+
 @query
 def frame_table(spark, sf_dir):
     """Frames written as a table and read back."""

@@ -28,6 +28,7 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and folder of a URI that pyarrow can open, or of a path."""
     if re.match(r"file:/|[A-Za-z][A-Za-z0-9+.-]*://", uri):
         uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", uri))
+        uri = quote(uri, safe="%/:?#[]@!$&'()*+,;=~-._")  # Spark leaves letters as they are
         try:
             store, folder = fs.FileSystem.from_uri(uri)
         except (OSError, ValueError) as fault:
