@@ -144,3 +144,16 @@ def literal_fragments(pattern: str) -> list[str]:
     if width is None:
         return []
     return sorted({run[i : i + width] for run in runs for i in range(len(run) - width + 1)})
+
+
+def narrow_fragments(pattern: str) -> list[str]:
+    """Fragments of the literal runs too short for `literal_fragments`: each run's, of the
+    greatest of `KEY_WIDTHS` that it holds.
+    """
+    width = max(map(len, literal_fragments(pattern)), default=0)
+    found = set()
+    for run in literal_runs(pattern):
+        if len(run) < width:
+            own = next(w for w in KEY_WIDTHS if w <= len(run))
+            found |= {run[i : i + own] for i in range(len(run) - own + 1)}
+    return sorted(found)

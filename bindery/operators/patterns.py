@@ -28,25 +28,30 @@ BITS_PER_KEY = 16
 MAX_FILTER_BITS = 1 << 24
 # A fragment that more paths hold is spread over tasks of this many.
 HOT_PATHS = 1_000_000
+# A glob whose rarest fragment more paths hold is looked up again by its short literal texts.
+COMMON_PATHS = 50
 # Globs without literal text in one regex.
 ALTERNATIVES = 500
 
 
 def compile_index(patterns: DataFrame) -> DataFrame:
-    """`body, fragments` of a table of distinct globs (column `pattern`).
+    """`body, fragments, narrow` of a table of distinct globs (column `pattern`).
 
     Raises `GlobError` for the first bad one.
     """
 
-    @F.pandas_udf("struct<body: string, fragments: array<string>, fault: string>")
+    kinds = "struct<body: string, fragments: array<string>, narrow: array<string>, fault: string>"
+
+    @F.pandas_udf(kinds)
     def compile_globs(pattern: pd.Series) -> pd.DataFrame:
         rows = []
         for one in pattern:
             try:
-                rows.append((globs.glob_body(one), globs.literal_fragments(one), None))
+                found = globs.literal_fragments(one), globs.narrow_fragments(one)
+                rows.append((globs.glob_body(one), *found, None))
             except globs.GlobError as fault:
-                rows.append((None, None, str(fault)))
-        return pd.DataFrame(rows, columns=["body", "fragments", "fault"])
+                rows.append((None, None, None, str(fault)))
+        return pd.DataFrame(rows, columns=["body", "fragments", "narrow", "fault"])
 
     compiled = materialize(
         patterns.select(compile_globs("pattern").alias("c")).select("c.*"), "globs"
@@ -54,7 +59,7 @@ def compile_index(patterns: DataFrame) -> DataFrame:
     bad = compiled.filter(F.col("fault").isNotNull()).first()
     if bad:
         raise globs.GlobError(bad.fault)
-    return compiled.select("body", "fragments")
+    return compiled.select("body", "fragments", "narrow")
 
 
 def keyless_match(index: DataFrame) -> Column:
@@ -141,6 +146,26 @@ def rarest_keys(files: DataFrame, index: DataFrame) -> DataFrame:
     return materialize(chosen.filter("r.paths > 0").select("body", "r.*"), "rarest")
 
 
+def rarer_keys(files: DataFrame, index: DataFrame, common: int = COMMON_PATHS) -> DataFrame:
+    """`rarest_keys`, of the short literal texts too for globs whose key over `common` paths hold.
+
+    `*/logs/*77.txt` has only fragments of `/logs/` in the width of its longest text; if
+    many globs begin like that, each would be tried on every path of the folder.
+    """
+    chosen = rarest_keys(files, index)
+    often = chosen.filter(F.col("paths") > common).select("body")
+    narrow = index.filter(F.size("narrow") > 0).join(often, "body", "left_semi")
+    narrow = materialize(narrow.select("body", F.col("narrow").alias("fragments")), "narrow")
+    if narrow.isEmpty():
+        return chosen
+    key = F.struct("paths", "key", "width").alias("r")
+    # A glob that is not found again has a short text that no path holds.
+    again = rarest_keys(files, narrow).select("body", key)
+    both = chosen.join(again, "body").select("body", F.least(key, "r").alias("r")).select("body", "r.*")
+    rest = chosen.join(narrow.select("body").distinct(), "body", "left_anti")
+    return materialize(rest.unionByName(both), "rarer")
+
+
 def matched_keys(files: DataFrame, index: DataFrame, hot_paths: int = HOT_PATHS) -> DataFrame:
     """`bundle, seq` of files that a glob with literal text matches, by base name or path.
 
@@ -149,7 +174,7 @@ def matched_keys(files: DataFrame, index: DataFrame, hot_paths: int = HOT_PATHS)
     falls into its places is spread on both.
     """
     files = files.select("bundle", "seq", "path", "base_name").filter(F.col("path").isNotNull())
-    chosen = rarest_keys(files, index)
+    chosen = rarer_keys(files, index)
     known = chosen.agg(
         F.count_distinct("key").alias("n"), F.max("paths").alias("most"),
         F.sort_array(F.collect_set("width")).alias("widths"),

@@ -88,3 +88,17 @@ def test_no_path_crosses_the_exploded_exchange(spark, files):
     exploded = [line for line in text.splitlines() if "Generate explode" in line]
     assert exploded and all("path#" not in re.sub(r"explode\(.*?\), \[", "[", line) for line in exploded)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_globs_of_one_common_folder_are_keyed_by_their_short_texts(spark):
+    """Each was tried on every path of the folder, whatever its number."""
+    paths = [f"a/.cache/doc_{i}.md" for i in range(400)]
+    rows = spark.createDataFrame([(i, "b", p) for i, p in enumerate(paths)], "seq long, bundle string, path string")
+    table = [f"*/.cache/*{i}[!a]md" for i in range(100, 300)] + ["*/.cache/*no[!a]md", "*/.cache/*7"]
+    globbed = spark.createDataFrame([(p,) for p in table], "pattern string")
+    files, index = catalog.with_path_parts(rows), patterns.compile_index(globbed)
+    chosen = patterns.rarer_keys(files, index).collect()
+    assert len(chosen) == 201  # no path holds `no`
+    assert sum(r.paths for r in chosen) < 400  # tries; 400 a glob before
+    kept = admission.skip_by_table(files, globbed, inline_limit=1).collect()
+    assert sorted(r.path for r in kept) == brute(paths, table)
