@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +36,18 @@ def folder_clashes(kept: DataFrame) -> DataFrame:
 
 
 def _writer(out: str):
-    def write_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Task body: one file a row, straight from the memory of Arrow's batch, which is given
+    back before the next one; no content is copied.
+    """
+
+    def write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import posixpath
         import uuid
 
         store, base = stores.open_store(out)
         local = store.type_name == "local"
 
-        def write(folder: str, path: str, content: bytes) -> None:
+        def write(folder: str, path: str, content: pa.Buffer) -> None:
             target = f"{folder}/{path}"
             parent = posixpath.dirname(target)
             store.create_dir(parent, recursive=True)
@@ -60,16 +64,22 @@ def _writer(out: str):
                 raise
 
         for batch in batches:
-            status = []
-            for row in batch.itertuples():
+            status, content = [], None
+            bundles, names, contents = (batch.column(c) for c in ("bundle", "path", "content"))
+            for bundle, name, content in zip(bundles, names, contents):
                 try:
-                    if row.content is None:
+                    if not content.is_valid:
                         raise ValueError("no content")
-                    write(stores.folder_of(base, row.bundle), row.path, row.content)
+                    folder = stores.folder_of(base, bundle.as_py())
+                    write(folder, name.as_py(), content.as_buffer())
                     status.append("WRITTEN")
                 except (OSError, ValueError):
                     status.append("FAILED")
-            yield batch[["bundle", "path"]].assign(status=status)
+            told = [pa.array(c.to_pylist(), pa.string()) for c in (bundles, names)]
+            told.append(pa.array(status, pa.string()))
+            del batch, bundles, names, contents, content
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays(told, names=["bundle", "path", "status"])
 
     return write_files
 
@@ -94,7 +104,7 @@ def extract_status(rows: DataFrame, out: str, order: str = "seq", prefix: str =
     clashes = materialize(folder_clashes(tidy), "clashes").distinct()
     content = F.col("content").cast("binary").alias("content")
     written = kept.join(clashes, ["bundle", "path"], "left_anti").select("bundle", "path", content)
-    written = written.mapInPandas(_writer(out), "bundle string, path string, status string")
+    written = written.mapInArrow(_writer(out), "bundle string, path string, status string")
     written = materialize(written, "extracted")  # tasks with effects run once
     return written.unionByName(clashes.withColumn("status", F.lit(CONFLICT))).unionByName(
         unsafe.select("bundle", "path", F.lit(UNSAFE).alias("status"))
