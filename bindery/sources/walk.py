@@ -30,11 +30,31 @@ CATALOG_COLUMNS = ["arg", "path", "base_name", "ext", "size", "mtime", "hidden_t
 _BATCH_ROWS = 10_000
 
 
-def _lister(include_hidden: bool, exclude: tuple[str, ...], on_error: str, batch_rows: int):
+def spark_omits():
+    """Whether Spark's file sources leave out a name: a test of its bytes, for a folder or a file."""
+
+    def omits(name: bytes, folder: bool) -> bool:
+        reserved = name.startswith(b"_") and b"=" not in name
+        if reserved and not folder:
+            return True
+        omitted = reserved or name.startswith(b".") or name.endswith(b"._COPYING_")
+        return omitted and not name.startswith((b"_metadata", b"_common_metadata"))
+
+    return omits
+
+
+def _lister(
+    include_hidden: bool,
+    exclude: tuple[str, ...],
+    on_error: str,
+    batch_rows: int,
+    like_spark: bool = False,
+):
     """Task body: one row per directory in, one row per entry out.
 
     Entries stream out in batches, so a directory of any length fits.
     """
+    omits = spark_omits()
 
     def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -60,6 +80,8 @@ def _lister(include_hidden: bool, exclude: tuple[str, ...], on_error: str, batch
                     hidden = entry.name.startswith(b".")
                     if hidden and not include_hidden:
                         continue
+                    if like_spark and omits(entry.name, entry.is_dir()):
+                        continue
                     real = os.path.realpath(entry.path)
                     if any(real == e or real.startswith(e + b"/") for e in outside):
                         continue
@@ -149,9 +171,16 @@ def catalog_paths(spark: SparkSession, paths: Iterable[str] | DataFrame) -> Data
     )
 
 
-def _walk(roots: DataFrame, include_hidden: bool, exclude: Iterable[str], on_error: str):
+def _walk(
+    roots: DataFrame,
+    include_hidden: bool,
+    exclude: Iterable[str],
+    on_error: str,
+    like_spark: bool = False,
+):
     """Listing rounds, one per level of the tree; each is a written table."""
-    lister = _lister(include_hidden, tuple(e.rstrip("/") for e in exclude), on_error, _BATCH_ROWS)
+    outside = tuple(e.rstrip("/") for e in exclude)
+    lister = _lister(include_hidden, outside, on_error, _BATCH_ROWS, like_spark)
     level, found = roots, []
     while True:
         listed = materialize(
@@ -173,6 +202,7 @@ def catalog_walk(
     include_hidden: bool = False,
     exclude: Iterable[str] = (),
     on_error: str = "raise",
+    like_spark: bool = False,
 ) -> DataFrame:
     """Files under the given arguments: `arg, path, base_name, ext, size,
     mtime, hidden_tree`.
@@ -191,7 +221,7 @@ def catalog_walk(
     directories = stated.filter(F.col("kind") == "dir")
     if recursive and not directories.isEmpty():
         hidden_out = [os.path.realpath(stores.local_path(e)) for e in exclude]
-        files = files.unionByName(_walk(directories, include_hidden, hidden_out, on_error))
+        files = files.unionByName(_walk(directories, include_hidden, hidden_out, on_error, like_spark))
     return with_path_parts(files).select(*CATALOG_COLUMNS)
 
 
