@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +94,11 @@ def _pack_catalog(
         written = 0
     failed = admitted.count() - written
     if failed:
-        seen = watch.get
-        if seen["files"] != failed:  # a lost executor's tasks were counted twice
+        try:
+            seen = watch.get
+        except Py4JJavaError:  # none of a plan that Spark finds to be empty while running
+            seen = {}
+        if seen.get("files") != failed:  # or a lost executor's tasks were counted twice
             lost = read_content(admitted).filter(unread)
             seen = {"bytes": lost.agg(F.sum("size")).first()[0]}
         _report(listed, cfg, out, missing, (failed, seen["bytes"] or 0))
